@@ -5,6 +5,12 @@ from __future__ import annotations
 from brindle.llm.base import table
 
 
+def op1_katz_scores(spark, sf_dir):
+    from brindle.llm import katz
+
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_digest(spark, sf_dir):
     from brindle.llm import digest
 
