@@ -35,6 +35,12 @@ def op8_tokeniser_fertility(spark, sf_dir):
     return fertility.judge(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_groups(spark, sf_dir):
+    from brindle.llm import minhash
+
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 _SQL = {
     # DuckDB has NFC but no compatibility form or full case folding; on texts without such characters they agree
     "op4_exact_digest": """
