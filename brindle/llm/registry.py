@@ -23,6 +23,12 @@ def op5_importance_resampling(spark, sf_dir):
     return quality.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_hilbert_packing(spark, sf_dir):
+    from brindle.llm import hilbert
+
+    return hilbert.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_language_mixture(spark, sf_dir):
     from brindle.llm import langid
 
@@ -35,6 +41,12 @@ def op8_tokeniser_fertility(spark, sf_dir):
     return fertility.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_sanitised_documents(spark, sf_dir):
+    from brindle.llm import pii
+
+    return pii.clean_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_groups(spark, sf_dir):
     from brindle.llm import minhash
 
