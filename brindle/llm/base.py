@@ -23,7 +23,10 @@ TOKENIZERS = os.environ.get("BRINDLE_TOKENIZERS", "/opt/tokenizers")
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package once a session, wherever they run."""
+    """Give the executors this package once a session, wherever they run, and keep the batches that Python workers get small
+    in bytes, so that very long texts don't add up."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
     sc = spark.sparkContext
     if getattr(sc, "_brindle_shipped", False):
         return

@@ -11,6 +11,18 @@ def op1_katz_scores(spark, sf_dir):
     return katz.score(table(spark, sf_dir, "documents"))
 
 
+def op2_licence_scan(spark, sf_dir):
+    from brindle.llm import licences
+
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_merge_dropout(spark, sf_dir):
+    from brindle.llm import dropout
+
+    return dropout.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_digest(spark, sf_dir):
     from brindle.llm import digest
 
