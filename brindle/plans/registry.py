@@ -1,25 +1,23 @@
-"""Collects the query tables of the plan modules."""
+"""Collects the queries of the plan modules."""
 
 from __future__ import annotations
 
+import importlib
 
-def _modules():
-    return []
+_NAMES = ("customer_queries",)
+
+
+def _books():
+    return [importlib.import_module(f"brindle.plans.{n}").book for n in _NAMES]
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return queries()["cai_features"](spark, sf_dir)
 
 
 def queries():
-    out = {}
-    for m in _modules():
-        out |= m.QUERIES
-    return out
+    return {k: f for b in _books() for k, f in b.queries.items()}
 
 
 def oracle_sql():
-    out = {}
-    for m in _modules():
-        out |= m.ORACLE
-    return out
+    return {k: s for b in _books() for k, s in b.oracle.items()}
