@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from brindle.functions.scalars import ratio
 from brindle.operators import clv, customers
 from brindle.plans.base import Book
 from brindle.tables import AS_OF, lines, load, purchases
@@ -172,6 +171,3 @@ def coverage_table(spark, d):
     long = wide.unpivot([], ["recency", "cai", "cai_reliable"], "metric", "coverage")
     band = F.when(F.col("coverage") < 0.3, "unusable").when(F.col("coverage") < 0.6, "partial").when(F.col("coverage") < 0.8, "caution").otherwise("good")
     return long.select("metric", F.round("coverage", 6).alias("coverage"), band.alias("band"))
-
-
-__all__ = ["book", "ratio"]
