@@ -160,9 +160,9 @@ def _survival(spark, d):
 
 
 @book.query(f"""WITH {_SURV}, c AS (SELECT g, t, count(*) AS n, sum(e)::BIGINT AS events FROM v GROUP BY 1, 2), r AS (SELECT g, t, events, (sum(n) OVER (PARTITION BY g ORDER BY t DESC))::BIGINT AS at_risk FROM c), k AS (SELECT * FROM r WHERE events > 0)
-SELECT g AS grp, t, at_risk, events, round(CASE WHEN min(at_risk - events) OVER w = 0 THEN 0 ELSE exp(sum(ln(CASE WHEN at_risk > events THEN 1 - events / at_risk END)) OVER w) END, 6) AS survival FROM k WINDOW w AS (PARTITION BY g ORDER BY t)""")
+SELECT g AS grp, t, at_risk, events, round(CASE WHEN min(at_risk - events) OVER w = 0 THEN 0 ELSE exp(sum(ln(CASE WHEN at_risk > events THEN 1 - events / at_risk END)) OVER w) END, 10) AS survival FROM k WINDOW w AS (PARTITION BY g ORDER BY t)""")
 def km_curve(spark, d):
-    return _r(st.kaplan_meier(_survival(spark, d), "g", "t", "e"), survival=6)
+    return _r(st.kaplan_meier(_survival(spark, d), "g", "t", "e"), survival=10)
 
 
 @book.query(f"""WITH {_SURV}, c AS (SELECT t, count(*)::DOUBLE AS n, sum(g)::DOUBLE AS n1, sum(e)::DOUBLE AS d, sum(e * g)::DOUBLE AS d1 FROM v GROUP BY t), r AS (SELECT t, d, d1, sum(n) OVER (ORDER BY t DESC) AS r, sum(n1) OVER (ORDER BY t DESC) AS r1 FROM c)
