@@ -133,10 +133,9 @@ def mde_mean(n1: float, n2: float, sd: float, alpha: float = 0.05, power: float
 
 
 def sample_size(p1: float, p2: float, alpha: float = 0.05, power: float = 0.8) -> int:
-    """Per arm, for two shares: pooled variance under the null, unpooled under the alternative."""
-    p = (p1 + p2) / 2
-    a, b = dist.normal_ppf(1 - alpha / 2), dist.normal_ppf(power)
-    return math.ceil((a * math.sqrt(2 * p * (1 - p)) + b * math.sqrt(p1 * (1 - p1) + p2 * (1 - p2))) ** 2 / (p1 - p2) ** 2)
+    """Per arm, for two shares with their own variances."""
+    z = dist.normal_ppf(1 - alpha / 2) + dist.normal_ppf(power)
+    return math.ceil(z * z * (p1 * (1 - p1) + p2 * (1 - p2)) / (p1 - p2) ** 2)
 
 
 def mde_t(n1: int, n2: int, sd: float, alpha: float = 0.05, power: float = 0.8) -> float:
