@@ -39,14 +39,14 @@ _PROMO = f"""w AS (SELECT c_mktsegment AS seg, CASE WHEN {_D} BETWEEN DATE '2000
 
 
 @book.query(f"""WITH {_PROMO}, s AS (SELECT seg, coalesce(sum(x) FILTER (phase = 'during'), 0) AS during_p, coalesce(sum(x) FILTER (phase = 'after'), 0) AS after_p, coalesce(sum(x) FILTER (phase = 'base'), 0) AS base_p, coalesce(sum(x) FILTER (phase = 'base_after'), 0) AS base_after FROM w GROUP BY seg)
-SELECT seg, round(during_p - base_p, 2) AS uplift, round(after_p - base_after, 2) AS pull_forward, round(-0.1 * during_p, 2) AS discount, round(during_p - base_p + after_p - base_after - 0.1 * during_p, 2) AS net, round(after_p / nullif(base_after, 0), 6) AS dip_ratio FROM s""")
+SELECT seg, round(during_p - base_p, 2) AS uplift, round(after_p - base_after, 2) AS pull_forward, round(-0.1 * during_p, 4) AS discount, round(during_p - base_p + after_p - base_after - 0.1 * during_p, 4) AS net, round(after_p / nullif(base_after, 0), 6) AS dip_ratio FROM s""")
 def promo_decomposition(spark, d):
     """A promotion in May 2000 against the year before: uplift, demand pulled forward from June, a 10 % discount, the net, and the dip ratio."""
     x = purchases(spark, d).join(load(spark, d, "customer"), F.col("customer") == F.col("c_custkey"))
     part = lambda a, b: F.coalesce(F.sum(F.when(F.col("day").between(a, b), F.col("amount"))), F.lit(0.0))
     s = x.groupBy(F.col("c_mktsegment").alias("seg")).agg(part("2000-05-01", "2000-05-31").alias("p"), part("2000-06-01", "2000-06-30").alias("q"), part("1999-05-01", "1999-05-31").alias("b"), part("1999-06-01", "1999-06-30").alias("c"))
     p, q, b, c = (F.col(k) for k in "pqbc")
-    return s.select("seg", F.round(p - b, 2).alias("uplift"), F.round(q - c, 2).alias("pull_forward"), F.round(-0.1 * p, 2).alias("discount"), F.round(p - b + q - c - 0.1 * p, 2).alias("net"), F.round(ratio(q, c), 6).alias("dip_ratio"))
+    return s.select("seg", F.round(p - b, 2).alias("uplift"), F.round(q - c, 2).alias("pull_forward"), F.round(-0.1 * p, 4).alias("discount"), F.round(p - b + q - c - 0.1 * p, 4).alias("net"), F.round(ratio(q, c), 6).alias("dip_ratio"))
 
 
 @book.query(f"""WITH d AS (SELECT DISTINCT o_custkey AS c, {_D} AS day FROM orders), g AS (SELECT c, day, date_diff('day', lag(day) OVER (PARTITION BY c ORDER BY day), day) AS gap FROM d), l AS (SELECT c, avg(gap) AS m FROM g GROUP BY c),
@@ -119,11 +119,11 @@ def markov_removal(spark, d):
 
 
 @book.query("""WITH s AS (SELECT event_type AS ch, CAST(ts AS DATE) AS t, sum(value) AS x FROM events GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY t) AS i FROM s)
-SELECT a.ch AS channel, a.t AS day, round(max(a.x), 4) AS spend, round(sum(b.x * power(0.5, a.i - b.i)), 4) AS adstock, round(sum(b.x * power(0.5, a.i - b.i)) / (sum(b.x * power(0.5, a.i - b.i)) + 5000), 6) AS saturation FROM o a JOIN o b ON a.ch = b.ch AND b.i <= a.i GROUP BY 1, 2""")
+SELECT a.ch AS channel, a.t AS day, round(max(a.x), 4) AS spend, round(sum(b.x * power(0.6, a.i - b.i)), 6) AS adstock, round(sum(b.x * power(0.6, a.i - b.i)) / (sum(b.x * power(0.6, a.i - b.i)) + 5000), 6) AS saturation FROM o a JOIN o b ON a.ch = b.ch AND b.i <= a.i GROUP BY 1, 2""")
 def adstock_saturation(spark, d):
     s = load(spark, d, "events").groupBy(F.col("event_type").alias("channel"), F.col("ts").cast("date").alias("day")).agg(F.sum("value").alias("spend"))
-    a = commerce.adstock(s, "channel", "day", "spend", 0.5, 5000.0)
-    return a.select("channel", "day", F.round("spend", 4).alias("spend"), F.round("adstock", 4).alias("adstock"), F.round("saturation", 6).alias("saturation"))
+    a = commerce.adstock(s, "channel", "day", "spend", 0.6, 5000.0)
+    return a.select("channel", "day", F.round("spend", 4).alias("spend"), F.round("adstock", 6).alias("adstock"), F.round("saturation", 6).alias("saturation"))
 
 
 @book.query("""WITH p(name, n, reach, increment, margin, fixed, touch, lo, mid, hi) AS (VALUES ('dormant', 967.0, 1.0, 510.5, 1.0, 15000.0, 0.8, 0.05, 0.065, 0.08), ('new', 400.0, 0.9, 300.0, 0.4, 2000.0, 1.5, 0.02, 0.05, 0.1)), g AS (SELECT *, CAST(n AS DOUBLE) * reach * increment * margin AS gain, CAST(fixed AS DOUBLE) + CAST(n AS DOUBLE) * reach * touch AS cost FROM p)
