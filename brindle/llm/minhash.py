@@ -251,10 +251,10 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
                 out += [xxhash.xxh3_128_digest(tok.hash[i:j].tobytes()) if j > i else None for i, j in zip(tok.first[:-1], tok.first[1:])]
             yield pd.Series(out, dtype=object)
 
-    mark = temp_name(docs, "_digest")
-    known = stay.select(F.col("digest").alias(mark + "d"), F.col("group_id").alias(mark + "g"), F.col("n").alias(mark + "n"))
+    mark, same, group, n = (temp_name(docs, c) for c in ("_digest", "_same", "_group", "_n"))
+    known = stay.select(F.col("digest").alias(same), F.col("group_id").alias(group), F.col("n").alias(n))
     marked = docs.withColumn(mark, digest_of("text"))
-    joined = marked.join(known, F.col(mark) == F.col(mark + "d"), "left").where(F.col(mark).isNull() | (F.col(mark + "n") >= 1) & F.col("doc_id").eqNullSafe(F.col(mark + "g")))
-    often = F.coalesce(F.col(mark + "n") > 1, F.lit(False))
+    joined = marked.join(known, F.col(mark) == F.col(same), "left").where(F.col(mark).isNull() | F.col(n).isNotNull() & F.col("doc_id").eqNullSafe(F.col(group)))
+    often = F.coalesce(F.col(n) > 1, F.lit(False))
     single, repeated = joined.where(~often), joined.where(often).dropDuplicates([mark, "doc_id"])
     return single.unionByName(repeated).select(*docs.columns)

@@ -193,13 +193,13 @@ def _with_terms(docs: DataFrame, terms: DataFrame, name: str) -> DataFrame:
     if not bits.any():
         return docs.withColumn(name, F.lit(None).cast(kind))
     key = temp_name(docs, "_suspects")
-    row = temp_name(docs, "_row")
+    row, row2 = temp_name(docs, "_row"), temp_name(docs, "_row_of")
     marked = docs.withColumn(key, suspects("text"))
     plain = marked.where(F.size(key) == 0).withColumn(name, F.lit(None).cast(kind)).drop(key)
     some = materialise(marked.where(F.size(key) > 0).withColumn(row, F.monotonically_increasing_id()), "pii-suspects")
     pairs = some.select(row, F.explode(key).alias("entity")).join(terms, "entity").groupBy(row, "term").agg(F.min(F.when(F.col("action") == "remove", "0remove").otherwise("1general")).alias("action"))
-    maps = pairs.groupBy(F.col(row).alias(row + "2")).agg(F.map_from_entries(F.collect_list(F.struct("term", F.expr("substring(action, 2)")))).alias(name))
-    return plain.unionByName(some.join(maps, F.col(row) == F.col(row + "2"), "left").select(*docs.columns, name))
+    maps = pairs.groupBy(F.col(row).alias(row2)).agg(F.map_from_entries(F.collect_list(F.struct("term", F.expr("substring(action, 2)")))).alias(name))
+    return plain.unionByName(some.join(maps, F.col(row) == F.col(row2), "left").select(*docs.columns, name))
 
 
 def clean_documents(docs: DataFrame, **params) -> DataFrame:
