@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -67,3 +68,14 @@ def np_mix_ids(ids: np.ndarray, seed: int) -> np.ndarray:
 def ids_of(series) -> np.ndarray:
     """Ids as int64; null counts as -1."""
     return series.fillna(-1).to_numpy(np.int64)
+
+
+def materialise_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` to the shared folder in ``buckets`` files by the hash of ``key``: work that needs the rows of a key together reads them without
+    another shuffle. The catalog only knows the table until it has been read back."""
+    spark = df.sparkSession
+    tag = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{tag}").saveAsTable(tag)
+    back = spark.table(tag)
+    spark.sql(f"DROP TABLE {tag}")
+    return back

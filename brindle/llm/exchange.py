@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import gc
 import math
+import time
 
 import numpy as np
 import zstandard
@@ -38,6 +39,23 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
 
 
+def pack_sparse(a: np.ndarray) -> bytes:
+    """A float array that is mostly 0: where it isn't, and the values there."""
+    on = a != 0
+    head = pack(np.packbits(on)) if len(a) else b""
+    return len(a).to_bytes(8, "little") + len(head).to_bytes(8, "little") + head + (pack(a[on]) if on.any() else b"")
+
+
+def unpack_sparse(b: bytes) -> np.ndarray:
+    n, head = int.from_bytes(b[:8], "little"), int.from_bytes(b[8:16], "little")
+    out = np.zeros(n)
+    if n:
+        on = np.unpackbits(unpack(b[16 : 16 + head], np.uint8), count=n).astype(bool)
+        if on.any():
+            out[on] = unpack(b[16 + head :], np.float64)
+    return out
+
+
 def bounds(buckets: int) -> np.ndarray:
     """First key of each bucket but the first."""
     return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
@@ -45,15 +63,15 @@ def bounds(buckets: int) -> np.ndarray:
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(sorted distinct keys, index of one occurrence, place of each key among the distinct, counts)."""
-    order = np.argsort(keys)
+    order = np.argsort(keys).astype(np.int32)  # a block has far fewer than 2**31 keys
     s = keys[order]
     first = np.empty(len(s), bool)
     first[:1] = True
     np.not_equal(s[1:], s[:-1], out=first[1:])
-    at = np.flatnonzero(first)
-    place = np.empty(len(s), np.int64)
-    place[order] = np.cumsum(first) - 1
-    return s[at], order[at], place, np.diff(np.append(at, len(s)))
+    at = np.flatnonzero(first).astype(np.int32)
+    place = np.empty(len(s), np.int32)
+    place[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    return s[at], order[at], place, np.diff(np.append(at, np.int32(len(s))))
 
 
 def cut(keys: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
@@ -91,6 +109,9 @@ def spread(df: DataFrame, key: str, parts: int) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of jobs whose results have been written: their plans are garbage by now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of jobs whose results have been written: their plans are garbage by now. Python's handles go in the
+    first round, what they held in the next."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)

@@ -12,6 +12,7 @@ counts, context sums, evaluation. The counts and backoff weights stay in tables
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.base import materialise
-from brindle.llm.exchange import buckets_for, cut, distinct, free_shuffles, merged, next_block, pack, pack_sorted, spread, unpack, unpack_sorted
+from brindle.llm.base import materialise, materialise_bucketed
+from brindle.llm.exchange import buckets_for, cut, distinct, free_shuffles, merged, next_block, pack, pack_sorted, pack_sparse, spread, unpack, unpack_sorted, unpack_sparse
 from brindle.llm.textvec import Tokens, clean, mix, slabs
 
 K = 5
@@ -33,8 +34,9 @@ BLOCK_SCHEMA = "block long, n_docs long, n_tokens long, doc_ids binary, no_id bi
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys of n-grams have 56 bits: of n distinct ones about n^2 / 2^57 meet another, one in ten thousand at 2 x 10^13."""
     with np.errstate(over="ignore"):
-        return mix(a * _M + b)
+        return mix(a * _M + b) & ~np.uint64(255)
 
 
 def encode_block(number: int, ids: pd.Series, texts: list[str]) -> dict:
@@ -76,7 +78,7 @@ class Grams:
         is_end[end] = True
         target[~is_end] = words[tokens]
         target[end] = END
-        self.doc = np.repeat(np.arange(len(n)), n)
+        self.doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
         self.begins = np.zeros(total, bool)
         self.begins[end - sizes] = True
         prev = np.empty(total, np.uint64)
@@ -189,6 +191,16 @@ def _probabilities(g: Grams, reply: list[np.ndarray], m: Params) -> list[tuple]:
     return out
 
 
+def _asked(key: np.ndarray, stored: np.ndarray, own: np.ndarray, could: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-grams, their distinct contexts, place of each n-gram's context) of the contexts that a block must ask about: those that it
+    backs off from or adds to. ``could`` tells contexts frequent enough to have a stored word; the others' alpha is 1."""
+    some = np.flatnonzero(could)
+    keys, _, place, _ = distinct(key[some])
+    used = np.bincount(place, (own | (stored == 0))[some], minlength=len(keys)) > 0
+    keep = used[place]
+    return some[keep], keys[used], (np.cumsum(used) - 1)[place[keep]]
+
+
 def _context_requests(both: DataFrame, m: Params, buckets: int) -> DataFrame:
     """Each stored n-gram's owner adds its probability and its lower-order probability to the sums of its context."""
 
@@ -203,11 +215,10 @@ def _context_requests(both: DataFrame, m: Params, buckets: int) -> DataFrame:
                 key = g.context[n][g.one[n]]
                 lower = prob[n - 1][0][g.place[n - 1][g.one[n]]]
                 own = (reply[n] & np.uint64(1)).astype(bool) & (stored > 0)
-                some = np.flatnonzero(total >= m.cutoffs[n])  # other contexts have no stored word, alpha is 1
-                keys, _, place, _ = distinct(key[some])
+                some, keys, place = _asked(key, stored, own, total >= m.cutoffs[n])
                 a = np.bincount(place, np.where(own, stored, 0.0)[some], minlength=len(keys))
                 b = np.bincount(place, np.where(own, lower, 0.0)[some], minlength=len(keys))
-                out += [(bk, n, row.block, pack_sorted(keys[s]), pack(a[s]), pack(b[s])) for bk, s in cut(keys, buckets)]
+                out += [(bk, n, row.block, pack_sorted(keys[s]), pack_sparse(a[s]), pack_sparse(b[s])) for bk, s in cut(keys, buckets)]
         return pd.DataFrame(out, columns=["bucket", "n", "block", "keys", "mass", "lower"])
 
     blocks, replies = both
@@ -220,7 +231,7 @@ def _context_replies(requests: DataFrame) -> DataFrame:
         bucket = int(p["bucket"].iloc[0])
         for n, rows in p.groupby("n"):
             keys, _, place, slices = merged([unpack_sorted(x) for x in rows["keys"]])
-            mass, lower = (np.bincount(place, np.concatenate([unpack(x, np.float64) for x in rows[k]]), minlength=len(keys)) for k in ("mass", "lower"))
+            mass, lower = (np.bincount(place, np.concatenate([unpack_sparse(x) for x in rows[k]]), minlength=len(keys)) for k in ("mass", "lower"))
             alpha = np.where(mass > 0, (1 - mass) / np.maximum(1 - lower, 1e-12), 1.0)
             out += [("alpha", bucket, n, block, None, pack(alpha[place[s]].astype(np.float32))) for block, s in zip(rows["block"], slices)]
             some = mass > 0
@@ -239,17 +250,18 @@ def _scores(blocks: DataFrame, replies: DataFrame, m: Params) -> DataFrame:
         counts, alphas = r[r["kind"] == "reply"], r[r["kind"] == "alpha"]
         for row in p.itertuples():
             g = Grams(row, m.order)
-            prob = _probabilities(g, _counts(counts, g), m)
+            reply = _counts(counts, g)
+            prob = _probabilities(g, reply, m)
             p_now = prob[0][0][g.place[0]]
             backs = np.zeros(len(p_now), np.int64)
             for n in range(1, m.order):
                 stored, _, total = prob[n]
-                some = np.flatnonzero(total >= m.cutoffs[n])
-                keys = distinct(g.context[n][g.one[n]][some])[0]
-                own = alphas[alphas["n"] == n].sort_values("bucket")
-                alpha = np.concatenate([unpack(x, np.float32) for x in own["data"]]) if len(own) else np.empty(0, np.float32)
+                own = (reply[n] & np.uint64(1)).astype(bool) & (stored > 0)
+                some, _, place = _asked(g.context[n][g.one[n]], stored, own, total >= m.cutoffs[n])
+                mine = alphas[alphas["n"] == n].sort_values("bucket")
+                alpha = np.concatenate([unpack(x, np.float32) for x in mine["data"]]) if len(mine) else np.empty(0, np.float32)
                 weight = np.ones(len(stored))
-                weight[some] = alpha[np.searchsorted(keys, g.context[n][g.one[n]][some])]
+                weight[some] = alpha[place]
                 here = stored[g.place[n]]
                 backs += here == 0
                 p_now = np.where(here > 0, here, weight[g.place[n]] * p_now)
@@ -266,7 +278,8 @@ def _scores(blocks: DataFrame, replies: DataFrame, m: Params) -> DataFrame:
 @dataclass
 class Fitted:
     params: Params
-    blocks: DataFrame
+    blocks: DataFrame  # in ``n_blocks`` buckets
+    n_blocks: int
     tables: DataFrame  # kind, bucket, n, block, keys, data
 
     def stored(self, kind: str) -> DataFrame:
@@ -277,11 +290,14 @@ class Fitted:
 def fit(docs: DataFrame, order: int = 3, cutoffs: tuple = CUTOFFS, block_chars: int = BLOCK_CHARS, per_bucket: int = 1_500_000) -> Fitted:
     """Count n-grams up to ``order`` over all of ``docs`` and normalise them."""
     spark = docs.sparkSession
-    blocks = materialise(blocks_of(docs, block_chars), "katz-blocks")
-    r = blocks.agg(F.sum("n_tokens"), F.sum("n_docs"), F.count("*")).first()
-    tokens, n_docs, n_blocks = r[0] or 0, r[1] or 0, r[2]
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_blocks = max(1, math.ceil(chars / block_chars))
+    blocks = materialise_bucketed(blocks_of(docs, block_chars), "katz-blocks", "block", n_blocks)
+    free_shuffles(spark)
+    r = blocks.agg(F.sum("n_tokens"), F.sum("n_docs")).first()
+    tokens, n_docs = r[0] or 0, r[1] or 0
     buckets = buckets_for((tokens + n_docs) * order, per_bucket)
-    once = materialise(_count_replies(spread(_count_requests(spread(blocks, "block", n_blocks), order, buckets), "bucket", buckets), cutoffs), "katz-counts", ("kind",))
+    once = materialise(_count_replies(spread(_count_requests(blocks, order, buckets), "bucket", buckets), cutoffs), "katz-counts", ("kind",))
     free_shuffles(spark)
     table = np.zeros((order, K + 3), np.int64)
     # merged on the executors to one row an order
@@ -289,10 +305,10 @@ def fit(docs: DataFrame, order: int = 3, cutoffs: tuple = CUTOFFS, block_chars:
         table[x["n"]] += np.frombuffer(x["data"], np.int64)
     m = Params(order, tuple(cutoffs), np.array([discounts(t, c) for t, c in zip(table, cutoffs)]), float(tokens + n_docs), float(n_docs))
     replies = once.where("kind = 'reply'").select("block", "bucket", "n", "data")
-    ask = _context_requests((spread(blocks, "block", n_blocks), spread(replies, "block", n_blocks)), m, buckets)
+    ask = _context_requests((blocks, spread(replies, "block", n_blocks)), m, buckets)
     again = materialise(_context_replies(spread(ask, "bucket", buckets)), "katz-backoff", ("kind",))
     free_shuffles(spark)
-    return Fitted(m, blocks, once.unionByName(again))
+    return Fitted(m, blocks, n_blocks, once.unionByName(again))
 
 
 def score(docs: DataFrame, **params) -> DataFrame:
@@ -300,9 +316,8 @@ def score(docs: DataFrame, **params) -> DataFrame:
     backed_off (steps down to a lower order). A null or empty text is its end mark only; rows with one id are scored
     each; an empty table gives no rows."""
     model = fit(docs, **params)
-    n = max(1, model.blocks.count())
     replies = model.tables.where(F.col("kind").isin("reply", "alpha")).select("kind", "block", "bucket", "n", "data")
-    return _scores(spread(model.blocks, "block", n), spread(replies, "block", n), model.params)
+    return _scores(model.blocks, spread(replies, "block", model.n_blocks), model.params)
 
 
 __all__ = ["Fitted", "Grams", "Params", "discounts", "fit", "score"]
