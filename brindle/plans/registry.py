@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_NAMES = ("customer_queries", "relational_queries", "commerce_queries", "quality_queries", "statistics_queries", "text_queries", "storage_queries")
+_NAMES = ("customer_queries", "relational_queries", "commerce_queries", "quality_queries", "statistics_queries", "text_queries", "storage_queries", "diagnostic_queries")
 
 
 def _books():
