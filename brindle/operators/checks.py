@@ -121,7 +121,7 @@ def restated(facts: DataFrame, keys: list[str], value: str, as_of: str, most: fl
 def unmapped(df: DataFrame, col: str, mapping: DataFrame, most: float = 0.01) -> DataFrame:
     """Q06: values without a mapping, if they are more than ``most`` of the rows."""
     m = mapping.select(F.col(col).alias("_m")).distinct()
-    t = df.groupBy(col).count().join(F.broadcast(m), F.col(col) == F.col("_m"), "left")
+    t = df.groupBy(col).count().join(m, F.col(col) == F.col("_m"), "left")
     from pyspark.sql import Window
 
     w = Window.partitionBy()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.scalars import ratio
+from brindle.operators import ordered
 
 
 def until(p: DataFrame, as_of: str) -> DataFrame:
@@ -19,11 +20,10 @@ def rfm(p: DataFrame, as_of: str) -> DataFrame:
 
 def scores(features: DataFrame, tiles: int = 5) -> DataFrame:
     """Quantile scores with the key as tie-break; recency is turned round, so that the top score is the best."""
-    # one global order per measure is what equal-sized groups mean; only key and measure go through each sort
-    def tile(c: str):
-        return F.ntile(tiles).over(Window.orderBy(c, "customer"))
-
-    return features.select("customer", (F.lit(tiles + 1) - tile("r_days")).cast("long").alias("r_score"), tile("f_txn").cast("long").alias("f_score"), tile("m_gross").cast("long").alias("m_score"))
+    out = features.select("customer")
+    for c, name in (("r_days", "r_score"), ("f_txn", "f_score"), ("m_gross", "m_score")):
+        out = out.join(ordered.tiles(features.select("customer", c), [c, "customer"], tiles, name).select("customer", name), "customer")
+    return out.select("customer", (F.lit(tiles + 1) - F.col("r_score")).alias("r_score"), "f_score", "m_score")
 
 
 def stone_scores(features: DataFrame, c: float = 0.0025, cap: int = 10, tiers: tuple = ((90, 20), (180, 10), (270, 5), (365, 3))) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import distributions as dist
-from brindle.operators import statistics as st
+from brindle.operators import ordered, statistics as st
 
 
 def bootstrap(rows: DataFrame, group: str, y: str, draws: int = 2000, seed: int = 3) -> DataFrame:
@@ -177,8 +177,8 @@ def permutation_importance(rows: DataFrame, xs: list[str], y: str, key: str) ->
 
     base, out = auc(rows), []
     for c in xs:
-        a = rows.drop(c).withColumn("_i", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(1), key), key)))
-        b = rows.select(c, F.row_number().over(Window.orderBy(F.xxhash64(F.lit(2), key), key)).alias("_i"))
+        a = ordered.positions(rows.drop(c), [F.xxhash64(F.lit(1), key), key], "_i")
+        b = ordered.positions(rows.select(key, c), [F.xxhash64(F.lit(2), key), key], "_i").select(c, "_i")
         out.append((c, base, base - auc(a.join(b, "_i").drop("_i"))))
     return rows.sparkSession.createDataFrame(out, "term string, auc double, loss double")
 

@@ -63,5 +63,5 @@ def overlaps(members: DataFrame, group: str, key: str) -> DataFrame:
     m = members.select(F.col(group).alias("g"), F.col(key).alias("k")).distinct()
     n = m.groupBy("g").count()
     pair = m.withColumnRenamed("g", "a").join(m.withColumnRenamed("g", "b"), "k").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
-    out = pair.join(F.broadcast(n.toDF("a", "na")), "a").join(F.broadcast(n.toDF("b", "nb")), "b")
+    out = pair.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
     return out.select("a", "b", "both", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))

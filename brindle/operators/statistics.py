@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import distributions as dist
+from brindle.operators import ordered
 
 
 def moments(rows: DataFrame, group: str, y: str) -> DataFrame:
@@ -39,10 +40,9 @@ def with_f_tail(r: DataFrame) -> DataFrame:
 
 
 def ranked(rows: DataFrame, y: str) -> DataFrame:
-    """Average ranks. Ranks come from counts of distinct values, so only those are sorted in one order."""
+    """Average ranks, from running counts of distinct values."""
     c = rows.where(F.col(y).isNotNull()).groupBy(y).agg(F.count("*").alias("ties"))
-    upto = F.sum("ties").over(Window.orderBy(y))
-    r = c.select(F.col(y).alias("_y"), "ties", (upto - (F.col("ties") - 1) / 2).alias("rank"))
+    r = ordered.running_total(c, [y], "ties", "_upto").select(F.col(y).alias("_y"), "ties", (F.col("_upto") - (F.col("ties") - 1) / 2).alias("rank"))
     return rows.join(r, F.col(y) == F.col("_y")).drop("_y")
 
 
@@ -59,7 +59,7 @@ def kruskal(rows: DataFrame, group: str, y: str) -> DataFrame:
 def levene(rows: DataFrame, group: str, y: str, center: str = "median") -> DataFrame:
     """Levene's (mean) or Brown and Forsythe's (median) test: the analysis of variance of distances from the group's centre."""
     c = rows.groupBy(group).agg((F.percentile(y, 0.5) if center == "median" else F.avg(y)).alias("_c"))
-    z = rows.join(F.broadcast(c), group).withColumn("_z", F.abs(F.col(y) - F.col("_c")))
+    z = rows.join(c, group).withColumn("_z", F.abs(F.col(y) - F.col("_c")))
     return anova(moments(z, group, "_z"))
 
 
@@ -69,7 +69,7 @@ def chi_square(rows: DataFrame, a: str, b: str) -> DataFrame:
     n = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").cast("double").alias("n"))
     ra, rb = n.groupBy("a").agg(F.sum("n").alias("ra")), n.groupBy("b").agg(F.sum("n").alias("rb"))
     t = n.agg(F.sum("n").alias("t"))
-    cells = F.broadcast(ra).crossJoin(F.broadcast(rb)).join(n, ["a", "b"], "left").crossJoin(F.broadcast(t)).withColumn("e", F.col("ra") * F.col("rb") / F.col("t"))
+    cells = ra.crossJoin(rb).join(n, ["a", "b"], "left").crossJoin(F.broadcast(t)).withColumn("e", F.col("ra") * F.col("rb") / F.col("t"))
     o = F.coalesce("n", F.lit(0.0))
     k = F.least(F.countDistinct("a"), F.countDistinct("b")) - 1
     s = cells.agg(F.sum((o - F.col("e")) ** 2 / F.col("e")).alias("chi2"), ((F.countDistinct("a") - 1) * (F.countDistinct("b") - 1)).alias("df"), F.max("t").alias("t"), k.alias("k"), F.avg((F.col("e") < 5).cast("double")).alias("low"), F.min("e").alias("least"))
@@ -279,7 +279,7 @@ def calibration(rows: DataFrame, p: str, y: str, edges: list[float]) -> DataFram
 
 def gain(rows: DataFrame, score: str, label: str, key: str, tiles: int = 10) -> DataFrame:
     """Lift and cumulative gain by tile of falling score."""
-    t = rows.withColumn("tile", F.ntile(tiles).over(Window.orderBy(F.desc(score), key)).cast("long"))
+    t = ordered.tiles(rows, [F.desc(score), key], tiles, "tile")
     g = t.groupBy("tile").agg(F.count("*").alias("n"), F.sum(label).cast("double").alias("hits"))
     w, c = Window.partitionBy(), Window.orderBy("tile").rowsBetween(Window.unboundedPreceding, 0)
     rate = F.sum("hits").over(w) / F.sum("n").over(w)

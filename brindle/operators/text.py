@@ -40,7 +40,7 @@ def tfidf(docs: DataFrame, group: str, top: int) -> DataFrame:
     groups = tf.agg(F.countDistinct(group).alias("g"))
     df = tf.groupBy("w").agg(F.count("*").alias("df"))
     size = tf.groupBy(group).agg(F.sum("n").alias("size"))
-    x = tf.join(df, "w").join(F.broadcast(size), group).crossJoin(F.broadcast(groups)).withColumn("tfidf", F.col("n") / F.col("size") * F.ln((1 + F.col("g")) / (1 + F.col("df"))))
+    x = tf.join(df, "w").join(size, group).crossJoin(F.broadcast(groups)).withColumn("tfidf", F.col("n") / F.col("size") * F.ln((1 + F.col("g")) / (1 + F.col("df"))))
     r = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(F.round("tfidf", 12)), "w"))
     return x.withColumn("rank", r.cast("long")).where(F.col("rank") <= top).select(group, "rank", "w", "n", "tfidf")
 

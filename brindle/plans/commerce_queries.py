@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brindle.functions.scalars import ratio
-from brindle.operators import commerce
+from brindle.operators import commerce, ordered
 from brindle.plans.base import Book
 from brindle.tables import SPLIT, load, purchases
 
@@ -150,7 +150,7 @@ def recommendation_conflicts(spark, d):
     m = o.select(F.when(F.col("o_totalprice") >= 250000, "big_ticket").when(F.col("o_orderpriority").startswith("1"), "urgent").otherwise("regular").alias("list"), F.col("o_custkey").alias("k")).distinct()
     n = m.groupBy("list").count()
     p = m.withColumnRenamed("list", "a").join(m.withColumnRenamed("list", "b"), "k").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
-    j = p.join(F.broadcast(n.toDF("a", "x")), "a").join(F.broadcast(n.toDF("b", "y")), "b").withColumn("overlap", F.col("both") / F.least("x", "y"))
+    j = p.join(n.toDF("a", "x"), "a").join(n.toDF("b", "y"), "b").withColumn("overlap", F.col("both") / F.least("x", "y"))
     return j.select("a", "b", "both", F.round("overlap", 6).alias("overlap"), F.when(F.col("overlap") > 0.3, "fail").when(F.col("overlap") > 0.1, "warn").otherwise("pass").alias("verdict"))
 
 
@@ -190,7 +190,7 @@ def uplift_quadrants(spark, d):
 @book.query(f"""WITH {_UP}, t AS (SELECT ntile(10) OVER (ORDER BY past DESC, k) AS decile, arm, y FROM c), s AS (SELECT decile, sum(arm)::DOUBLE AS nt, sum(1 - arm)::DOUBLE AS nc, sum(y * arm)::DOUBLE AS yt, sum(y * (1 - arm))::DOUBLE AS yc FROM t GROUP BY decile), m AS (SELECT decile, sum(nt) OVER w AS nt, sum(nc) OVER w AS nc, sum(yt) OVER w AS yt, sum(yc) OVER w AS yc FROM s WINDOW w AS (ORDER BY decile))
 SELECT decile, round(yt - yc * nt / nullif(nc, 0), 6) AS qini FROM m""")
 def qini_curve(spark, d):
-    t = _uplift(spark, d).withColumn("decile", F.ntile(10).over(Window.orderBy(F.desc("past"), "k")).cast("long"))
+    t = ordered.tiles(_uplift(spark, d), [F.desc("past"), "k"], 10, "decile")
     s = t.groupBy("decile").agg(F.sum("arm").alias("nt"), F.sum(1 - F.col("arm")).alias("nc"), F.sum(F.col("y") * F.col("arm")).alias("yt"), F.sum(F.col("y") * (1 - F.col("arm"))).alias("yc"))
     w = Window.orderBy("decile").rowsBetween(Window.unboundedPreceding, 0)
     cum = s.select("decile", *[F.sum(c).over(w).cast("double").alias(c) for c in ("nt", "nc", "yt", "yc")])

@@ -144,7 +144,7 @@ def cumulative_ltv(spark, d):
     size = first.groupBy("cohort").agg(F.count("*").alias("n"))
     m = p.join(first, "customer").groupBy("cohort", (F.year("day") - F.col("cohort")).alias("age")).agg(F.sum("amount").alias("money"))
     w = Window.partitionBy("cohort").orderBy("age").rowsBetween(Window.unboundedPreceding, 0)
-    return m.join(F.broadcast(size), "cohort").select(F.col("cohort").cast("long"), F.col("age").cast("long"), F.round(F.sum("money").over(w) / F.col("n"), 2).alias("ltv"))
+    return m.join(size, "cohort").select(F.col("cohort").cast("long"), F.col("age").cast("long"), F.round(F.sum("money").over(w) / F.col("n"), 2).alias("ltv"))
 
 
 @book.query("""WITH f AS (SELECT o_custkey AS c, min(CAST(o_orderdate AS DATE)) AS f FROM orders GROUP BY 1), s AS (SELECT year(f) AS cohort, count(*) * 300000.0 AS cost FROM f GROUP BY 1),

@@ -138,7 +138,7 @@ def outlier_fences(spark, d):
     q = x.groupBy("seg").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
     iqr = F.col("q")[1] - F.col("q")[0]
     out = lambda k: F.sum(((F.col("x") < F.col("q")[0] - k * iqr) | (F.col("x") > F.col("q")[1] + k * iqr)).cast("long"))
-    return x.join(F.broadcast(q), "seg").groupBy("seg").agg(F.count("*").alias("n"), out(1.5).alias("outside_inner"), out(3).alias("outside_outer"))
+    return x.join(q, "seg").groupBy("seg").agg(F.count("*").alias("n"), out(1.5).alias("outside_inner"), out(3).alias("outside_outer"))
 
 
 @book.query("""WITH s AS (SELECT count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi, CAST(ceil(1 + log2(count(*))) AS BIGINT) AS k FROM orders), b AS (SELECT least(CAST(floor((o_totalprice - lo) / ((hi - lo) / k)) AS BIGINT), k - 1) AS bin, n AS total FROM orders, s),
@@ -176,7 +176,7 @@ def group_estimates_hhi(spark, d):
     a = purchases(spark, d).groupBy("customer").agg(F.sum("amount").alias("m")).join(load(spark, d, "customer"), F.col("customer") == F.col("c_custkey"))
     total = a.groupBy("c_mktsegment").agg(F.sum("m").alias("total"))
     s = F.col("m") / F.col("total")
-    return a.join(F.broadcast(total), "c_mktsegment").groupBy(F.col("c_mktsegment").alias("seg")).agg(F.count("*").alias("n"), F.round(F.avg("m"), 2).alias("mean"), F.round(F.percentile("m", 0.5), 2).alias("median"), F.round(F.max(s), 8).alias("top1_share"), F.round(F.sum(s * s), 8).alias("hhi"))
+    return a.join(total, "c_mktsegment").groupBy(F.col("c_mktsegment").alias("seg")).agg(F.count("*").alias("n"), F.round(F.avg("m"), 2).alias("mean"), F.round(F.percentile("m", 0.5), 2).alias("median"), F.round(F.max(s), 8).alias("top1_share"), F.round(F.sum(s * s), 8).alias("hhi"))
 
 
 @book.query("""SELECT round(corr(l_quantity, l_extendedprice), 8) AS r_qty_price, round(covar_samp(l_quantity, l_discount), 8) AS cov_qty_disc, round((corr(l_extendedprice, l_tax) - corr(l_extendedprice, l_quantity) * corr(l_tax, l_quantity)) / sqrt((1 - power(corr(l_extendedprice, l_quantity), 2)) * (1 - power(corr(l_tax, l_quantity), 2))), 8) AS partial_price_tax FROM lineitem""")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import distributions as dist
 from brindle.functions.scalars import business_date, display_number, money, normal_text, ratio, yeo_johnson
-from brindle.operators import checks, clv, commerce, customers, evidence, joins, lineage, statistics as st
+from brindle.operators import checks, clv, commerce, customers, diagnostics as dg, evidence, joins, lineage, ordered, statistics as st
 from brindle.sources import files
 from brindle.sources.lake import Lake
 from brindle.streaming import sessions
@@ -75,6 +75,19 @@ def test_removal_effect_of_a_single_path(spark):
     assert got == {"a": pytest.approx(1), "b": pytest.approx(1)}
 
 
+@pytest.mark.parametrize("per_range", [7, 10**6])
+def test_positions_and_tiles_over_ranges(spark, monkeypatch, per_range):
+    monkeypatch.setattr(ordered, "PER_RANGE", per_range)
+    df = spark.createDataFrame([(i, i * 7919 % 13, i % 4) for i in range(53)], "k long, x long, v long")
+    got = ordered.running_total(df, ["x", "k"], "v", "total").orderBy("x", "k").toPandas()
+    assert (got["total"] == got["v"].cumsum()).all()
+    want = {r["k"]: r["t"] for r in df.selectExpr("k", "ntile(5) over (order by x desc, k) as t").collect()}
+    assert {r["k"]: r["t"] for r in ordered.tiles(df, [F.desc("x"), "k"], 5, "t").collect()} == want
+    few = df.where("k < 3")
+    assert sorted(r["t"] for r in ordered.tiles(few, ["k"], 5, "t").collect()) == [1, 2, 3]
+    assert ordered.tiles(df.where("k < 0"), ["k"], 5, "t").count() == 0
+
+
 def test_markov_value_by_series(spark):
     m = spark.createDataFrame([("x", "x", 0.5), ("x", "y", 0.5), ("y", "x", 0.0), ("y", "y", 1.0)], "from_state string, to_state string, share double")
     got = {r["state"]: r for r in clv.markov_value(m, {"x": 10.0, "y": 1.0}, 0.1, 200).collect()}
@@ -282,3 +295,34 @@ def test_entry_without_the_corpus_folders():
 
     code = "import sys; sys.modules['brindle.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'cai_features' in q and not any(k.startswith('op') and k[2].isdigit() for k in q) and 'pipeline' not in q"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
+
+
+def test_influence_and_tests_of_residuals_equal_numpy(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=80)
+    y = 1 + 2 * x + rng.normal(size=80) * (1 + abs(x))
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "i int, x double, y double")
+    a = np.column_stack([np.ones(80), x])
+    e = y - a @ np.linalg.lstsq(a, y, rcond=None)[0]
+    lev = np.einsum("ij,jk,ik->i", a, np.linalg.inv(a.T @ a), a)
+    cook = e**2 / (2 * (e @ e) / 78) * lev / (1 - lev) ** 2
+    r = dg.residuals(df, ["x"], "y").orderBy("i").toPandas()
+    assert np.allclose(r["cooks_d"], cook) and np.allclose(r["leverage"], lev)
+    assert dg.durbin_watson(dg.residuals(df, ["x"], "y"), "i").first()[0] == pytest.approx((np.diff(e) ** 2).sum() / (e @ e))
+    e2 = e**2 - (e**2).mean()
+    r2 = 1 - ((e2 - a @ np.linalg.lstsq(a, e2, rcond=None)[0]) ** 2).sum() / (e2 @ e2)
+    assert dg.breusch_pagan(df, ["x"], "y").first()["lm"] == pytest.approx(80 * r2)
+
+
+def test_bootstrap_covers_the_mean(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, "a", float(v)) for i, v in enumerate(rng.normal(5, 2, 400))], "key int, g string, y double")
+    r = dg.bootstrap(df, "g", "y", 500).first()
+    assert r["low"] < r["mean"] < r["high"] and (r["high"] - r["low"]) == pytest.approx(2 * 1.96 * 2 / 20, rel=0.2)
+    assert dg.bootstrap(df.repartition(7), "g", "y", 500).first()["low"] == pytest.approx(r["low"])
+
+
+def test_master_data_checks(spark):
+    rows = spark.createDataFrame([(1, "google", "cpc", "x"), (2, "Google ", "organic", "x"), (3, "other", "mail", "x")], "key int, source string, medium string, campaign string")
+    m = spark.createDataFrame([("google", "*", "*", "search"), ("google", "cpc", "*", "paid search")], "p_source string, p_medium string, p_campaign string, channel_group string")
+    assert {r["key"]: r["channel_group"] for r in dg.mapped_channels(rows, m).collect()} == {1: "paid search", 2: "search", 3: None}
