@@ -154,3 +154,53 @@ def quarantine(df: DataFrame, suspect) -> tuple[DataFrame, DataFrame]:
     """(clean, suspect) rows; nothing is deleted."""
     bad = F.coalesce(suspect, F.lit(False))
     return df.where(~bad), df.where(bad)
+
+
+def zero_denominators(df: DataFrame, key: str, denominator: str) -> DataFrame:
+    """Q11."""
+    return df.where(F.col(denominator).isNull() | (F.col(denominator) == 0)).select(key, denominator)
+
+
+def crosses_change(trends: DataFrame, changes: DataFrame) -> DataFrame:
+    """Q12: trends (metric, first_day, last_day) with a change of measurement (scope, change_date) inside."""
+    on = (F.col("metric") == F.col("scope")) & (F.col("change_date") > F.col("first_day")) & (F.col("change_date") <= F.col("last_day"))
+    return trends.join(changes, on)
+
+
+def outside_hours(pos: DataFrame, hours: DataFrame) -> DataFrame:
+    """Q13: transactions (store, ts) outside the store's opening hours (store, opens, closes), closing after midnight allowed."""
+    h = F.hour("ts")
+    inside = F.when(F.col("opens") <= F.col("closes"), (h >= F.col("opens")) & (h < F.col("closes"))).otherwise((h >= F.col("opens")) | (h < F.col("closes")))
+    return pos.join(hours, "store").where(~inside)
+
+
+def totals_differ(a: DataFrame, b: DataFrame, key: str, value: str, most: float = 0.01) -> DataFrame:
+    """Q24: keys whose totals in two sources differ by ``most`` or more, or that only one has."""
+    x, y = (d.groupBy(key).agg(F.sum(value).alias(n)) for d, n in ((a, "one"), (b, "other")))
+    j = x.join(y, key, "full_outer")
+    return j.where(F.col("one").isNull() | F.col("other").isNull() | (F.abs(F.col("one") - F.col("other")) >= most * F.greatest(F.abs("one"), F.abs("other"), F.lit(1e-12))))
+
+
+def rows_grown(before: DataFrame, after: DataFrame) -> DataFrame:
+    """A join that multiplied rows."""
+    return before.agg(F.count("*").alias("before")).crossJoin(after.agg(F.count("*").alias("after"))).where("after > before")
+
+
+def card_dates(customers: DataFrame, cards: DataFrame, as_of: str) -> DataFrame:
+    """Q26: a first-card date after the earliest opening; cards expired at ``as_of`` or without a limit."""
+    first = cards.groupBy("customer").agg(F.min("open_date").alias("earliest"))
+    a = customers.join(first, "customer").where(F.col("first_card") > F.col("earliest")).select("customer", F.lit("first card").alias("fault"))
+    b = cards.where(F.col("expiry_date") < F.lit(as_of).cast("date")).select("customer", F.lit("expired").alias("fault"))
+    return a.unionByName(b).unionByName(cards.where("card_limit = 0").select("customer", F.lit("no limit").alias("fault")))
+
+
+def ambiguous_keys(df: DataFrame, parts: list[str]) -> DataFrame:
+    """Q27: different parts that are one text when put together without a separator."""
+    d = df.select(*parts).distinct().withColumn("glued", F.concat(*[F.col(p).cast("string") for p in parts]))
+    return d.groupBy("glued").count().where("count > 1")
+
+
+def invariants(features: DataFrame) -> DataFrame:
+    """Q25 on customer features: recency not negative, days within transactions, intervals one less than days."""
+    bad = (F.col("r_days") < 0) | (F.col("f_days") > F.col("f_txn")) | (F.col("n_intervals") != F.col("f_days") - 1)
+    return features.where(bad)

@@ -234,3 +234,38 @@ def flagged_bots(e: DataFrame, agents: str = r"(?i)bot|crawl|spider|headless", n
     top = x.groupBy("user_id", F.col("ts").cast("date").alias("d")).agg(F.max("_n").alias("c")).agg(F.percentile("c", most).alias("_top"))
     reasons = F.array_compact(F.array(F.when(F.col("user_agent").rlike(agents), "agent"), F.when(F.col("ip").isin(*networks), "network") if networks else F.lit(None).cast("string"), F.when(F.col("_n") > F.col("_top"), "volume"), F.when((F.col("_n") == 1) & (F.col("seconds") == 0), "empty")))
     return x.crossJoin(F.broadcast(top)).withColumn("reasons", reasons).withColumn("is_bot", F.size("reasons") > 0).drop("_n", "_top")
+
+
+def double_ml(rows: DataFrame, treatment: str, y: str, xs: list[str], key: str, placebo: bool = False) -> DataFrame:
+    """Effect of a treatment in a partially linear model: outcome and treatment are predicted from ``xs`` on the other half of the rows, and the residuals
+    are set against each other. ``placebo`` puts the treatment out of order by a hash; the effect should then be near 0."""
+    if placebo:
+        a = ordered.positions(rows.drop(treatment), [F.xxhash64(F.lit(3), key), key], "_i")
+        rows = a.join(ordered.positions(rows.select(key, treatment), [F.xxhash64(F.lit(4), key), key], "_i").select(treatment, "_i"), "_i").drop("_i")
+    half = F.pmod(F.xxhash64(F.lit(7), key), F.lit(2))
+    rows = rows.withColumn("_half", half)
+    parts = None
+    for h in (0, 1):
+        train, test = rows.where(F.col("_half") != h), rows.where(F.col("_half") == h)
+        res = []
+        for target in (y, treatment):
+            g = st.gram(train, xs, target)
+            k = len(xs) + 1
+            b = np.linalg.lstsq(g[:k, :k], g[:k, k], rcond=None)[0]
+            res.append(F.col(target) - sum((float(v) * F.col(c) for v, c in zip(b[1:], xs)), F.lit(float(b[0]))))
+        one = test.select(res[0].alias("ry"), res[1].alias("rt"))
+        parts = one if parts is None else parts.unionByName(one)
+    t = parts.agg((F.sum(F.col("ry") * F.col("rt")) / F.sum(F.col("rt") ** 2)).alias("effect"))
+    e = (F.col("ry") - F.col("effect") * F.col("rt")) * F.col("rt")
+    return parts.crossJoin(F.broadcast(t)).groupBy("effect").agg((F.sqrt(F.sum(e * e)) / F.sum(F.col("rt") ** 2)).alias("se"))
+
+
+def concordance(rows: DataFrame, time: str, event: str, risk: str, slices: int = 200) -> DataFrame:
+    """Harrell's C for right-censored times: of pairs whose order is known, the share where the earlier event had the higher risk. Times and risks are
+    first put in equal slices, so the pairs are of slices and not of rows; ties count a half."""
+    r = ordered.tiles(rows.withColumn("_k", F.monotonically_increasing_id()), [risk, "_k"], slices, "_r")
+    c = r.groupBy(F.col(time).alias("t"), "_r").agg(F.sum(F.col(event).cast("double")).alias("d"), F.count("*").cast("double").alias("n"))
+    a, b = c.select(F.col("t").alias("ta"), F.col("_r").alias("ra"), "d").where("d > 0"), c.select(F.col("t").alias("tb"), F.col("_r").alias("rb"), "n")
+    j = a.join(b, F.col("tb") > F.col("ta"))
+    w = F.col("d") * F.col("n")
+    return j.agg((F.sum(w * F.when(F.col("ra") > F.col("rb"), 1.0).when(F.col("ra") == F.col("rb"), 0.5).otherwise(0.0)) / F.sum(w)).alias("c_index"))

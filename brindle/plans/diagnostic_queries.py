@@ -130,3 +130,20 @@ def reissued_cards(spark, d):
 def bot_reasons(spark, d):
     e = load(spark, d, "events").withColumn("user_agent", F.when(F.col("user_id") % 11 == 0, "SomeBot/1").otherwise("Browser")).withColumn("ip", F.lit("x")).withColumn("seconds", F.lit(5))
     return dg.flagged_bots(e, most=1.0).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@book.query()
+def double_ml_effect(spark, d):
+    """Price effect of a line's discount with quantity and tax taken out, and the placebo."""
+    li = load(spark, d, "lineitem").withColumn("key", F.xxhash64("l_orderkey", "l_linenumber"))
+    a = dg.double_ml(li, "l_discount", "l_extendedprice", ["l_quantity", "l_tax"], "key").withColumn("kind", F.lit("effect"))
+    return a.unionByName(dg.double_ml(li, "l_discount", "l_extendedprice", ["l_quantity", "l_tax"], "key", placebo=True).withColumn("kind", F.lit("placebo")))
+
+
+@book.query("""WITH a AS (SELECT o_custkey % 20 AS k, sum(o_totalprice) AS one FROM orders GROUP BY 1), b AS (SELECT o_custkey % 20 AS k, sum(o_totalprice * CASE WHEN o_custkey % 20 = 3 THEN 1.2 ELSE 1 END) AS other FROM orders WHERE o_custkey % 20 <> 5 GROUP BY 1) SELECT k, round(one, 2) AS one, round(other, 2) AS other FROM a FULL JOIN b USING (k) WHERE one IS NULL OR other IS NULL OR abs(one - other) >= 0.01 * greatest(abs(one), abs(other))""")
+def totals_of_two_sources(spark, d):
+    from brindle.operators import checks
+
+    o = load(spark, d, "orders").select((F.col("o_custkey") % 20).alias("k"), F.col("o_totalprice").alias("v"))
+    other = o.where("k <> 5").withColumn("v", F.col("v") * F.when(F.col("k") == 3, 1.2).otherwise(1.0))
+    return checks.totals_differ(o, other, "k", "v").select("k", F.round("one", 2).alias("one"), F.round("other", 2).alias("other"))

@@ -326,3 +326,44 @@ def test_master_data_checks(spark):
     rows = spark.createDataFrame([(1, "google", "cpc", "x"), (2, "Google ", "organic", "x"), (3, "other", "mail", "x")], "key int, source string, medium string, campaign string")
     m = spark.createDataFrame([("google", "*", "*", "search"), ("google", "cpc", "*", "paid search")], "p_source string, p_medium string, p_campaign string, channel_group string")
     assert {r["key"]: r["channel_group"] for r in dg.mapped_channels(rows, m).collect()} == {1: "paid search", 2: "search", 3: None}
+
+
+def test_more_gates(spark):
+    g, day = checks, date
+    t = spark.createDataFrame([("m", day(2020, 1, 1), day(2020, 6, 1)), ("k", day(2020, 1, 1), day(2020, 6, 1))], "metric string, first_day date, last_day date")
+    c = spark.createDataFrame([("m", day(2020, 3, 1))], "scope string, change_date date")
+    assert [r["metric"] for r in g.crosses_change(t, c).collect()] == ["m"]
+    hours = spark.createDataFrame([(1, 9, 21), (2, 18, 2)], "store int, opens int, closes int")
+    pos = spark.sql("SELECT * FROM VALUES (1, timestamp_ntz'2020-01-01 08:00:00'), (1, timestamp_ntz'2020-01-01 20:00:00'), (2, timestamp_ntz'2020-01-01 01:00:00'), (2, timestamp_ntz'2020-01-01 12:00:00') AS t(store, ts)")
+    assert g.outside_hours(pos, hours).count() == 2
+    assert g.zero_denominators(spark.createDataFrame([(1, 0), (2, None), (3, 4)], "k int, n int"), "k", "n").count() == 2
+    assert g.rows_grown(spark.range(2), spark.range(3)).count() == 1 and g.rows_grown(spark.range(2), spark.range(2)).count() == 0
+    cards = spark.createDataFrame([(1, day(2010, 1, 1), day(2012, 1, 1), 5), (1, day(2011, 1, 1), day(2030, 1, 1), 0)], "customer int, open_date date, expiry_date date, card_limit int")
+    who = spark.createDataFrame([(1, day(2010, 5, 1))], "customer int, first_card date")
+    assert sorted(r["fault"] for r in g.card_dates(who, cards, "2012-12-01").collect()) == ["expired", "first card", "no limit"]
+    assert g.ambiguous_keys(spark.createDataFrame([("a", "bc"), ("ab", "c"), ("x", "y")], "p string, q string"), ["p", "q"]).count() == 1
+    f = spark.createDataFrame([(1, 5, 3, 2, 1), (2, -1, 3, 2, 1), (3, 1, 3, 2, 5)], "c int, r_days int, f_txn int, f_days int, n_intervals int")
+    assert g.invariants(f).count() == 2
+
+
+def test_partial_effect_and_placebo(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=600)
+    t = x + rng.normal(size=600)
+    y = 2 * t + 3 * x + rng.normal(size=600)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(zip(x, t, y))], "k int, x double, t double, y double")
+    assert dg.double_ml(df, "t", "y", ["x"], "k").first()["effect"] == pytest.approx(2, abs=0.15)
+    assert abs(dg.double_ml(df, "t", "y", ["x"], "k", placebo=True).first()["effect"]) < 0.3
+
+
+def test_concordance_equals_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(1, 30)), int(rng.random() < 0.7), float(i)) for i in range(60)]
+    good = total = 0.0
+    for a in rows:
+        for b in rows:
+            if a[1] and b[0] > a[0]:
+                total += 1
+                good += (a[2] > b[2]) + 0.5 * (a[2] == b[2])
+    df = spark.createDataFrame(rows, "t int, e int, r double")
+    assert dg.concordance(df, "t", "e", "r").first()["c_index"] == pytest.approx(good / total)
