@@ -1,10 +1,10 @@
 """Operator 2, licence scans by a positional rare-token index.
 
-The index has, for each word of the licence templates, its postings (template, position). A word's weight is its inverse document
-frequency over the whole corpus, and each template is indexed under its words of highest weight, its anchors. A document looks
-up the anchors it holds; a posting and the place in the document give a relative position, and a template is a candidate where
-enough anchors fall on one relative position (give or take ``slack`` words). A candidate counts if its words agree along that position
-and each of its mandatory phrases stands there word for word.
+The index has postings (template, position) of licence words. A word's weight is its inverse document frequency over the whole corpus, and
+each template is indexed under its anchors: of the words of its mandatory phrases, those of highest weight. A document looks up the
+anchors it holds; a posting and the place in the document give a relative position, and a template is a candidate where all its anchors
+fall on one relative position, give or take ``slack`` words. It counts if enough of its words agree along that position and each
+mandatory phrase stands where it should, word for word. As anchors are mandatory, the look-up loses nothing.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ def word_hashes(text: str) -> np.ndarray:
 class Index:
     names: list[str]
     words: list[np.ndarray]  # of each template
-    phrases: list[list[np.ndarray]]
+    phrases: list[list[tuple[int, np.ndarray]]]  # place in the template and words
     vocabulary: np.ndarray  # sorted distinct words of all templates
     anchors: list[np.ndarray]  # positions of each template's anchors
     postings: dict[int, list[tuple[int, int]]]  # anchor word -> (template, position)
@@ -66,7 +66,11 @@ class Index:
 
 def base_index(templates=TEMPLATES) -> Index:
     words = [word_hashes(t) for _, t, _ in templates]
-    return Index([n for n, _, _ in templates], words, [[word_hashes(x) for x in p] for _, _, p in templates], np.unique(np.concatenate(words)), [], {}, np.empty(0, np.uint64))
+    phrases = []
+    for w, (_, _, said) in zip(words, templates):
+        of = [word_hashes(x) for x in said]
+        phrases.append([(next(i for i in range(len(w)) if np.array_equal(w[i : i + len(p)], p)), p) for p in of])
+    return Index([n for n, _, _ in templates], words, phrases, np.unique(np.concatenate(words)), [], {}, np.empty(0, np.uint64))
 
 
 def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
@@ -91,53 +95,54 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
 
 
 def with_anchors(index: Index, df: np.ndarray, anchors: int = ANCHORS) -> Index:
-    """Index each template under its ``anchors`` rarest words (all places they have in it; ties by place)."""
+    """Index each template under the ``anchors`` rarest distinct words of its phrases, the rarest first, ties by place."""
     index.anchors, index.postings = [], {}
     for t, words in enumerate(index.words):
-        weight = -np.log1p(df[np.searchsorted(index.vocabulary, words)].astype(float))
-        first = {}
-        for i in np.lexsort((np.arange(len(words)), -weight)):
-            first.setdefault(int(words[i]), len(first))
-        at = np.array([i for i in range(len(words)) if first[int(words[i])] < anchors])
-        index.anchors.append(at)
-        for i in at.tolist():
+        places = sorted({i + j for i, p in index.phrases[t] for j in range(len(p))})
+        seen = df[np.searchsorted(index.vocabulary, words)]
+        at = []
+        for i in sorted(places, key=lambda i: (seen[i], i)):
+            if len(at) < anchors and words[i] not in words[at]:
+                at.append(i)
+        index.anchors.append(np.array(at))
+        for i in at:
             index.postings.setdefault(int(words[i]), []).append((t, i))
     index.anchor_words = np.array(sorted(index.postings), np.uint64)
     return index
 
 
-def find_phrase(words: np.ndarray, phrase: np.ndarray) -> bool:
-    n = len(phrase)
-    return any(np.array_equal(words[i : i + n], phrase) for i in np.flatnonzero(words[: len(words) - n + 1] == phrase[0])) if len(words) >= n else False
-
-
 def coverage(words: np.ndarray, at: int, template: np.ndarray, slack: int) -> float:
     """Share of the template's words that the document has at the relative position ``at``, give or take ``slack``."""
     return sum(x in words[max(0, at + i - slack) : max(0, at + i + slack + 1)] for i, x in enumerate(template)) / len(template)
 
 
+def has_phrases(words: np.ndarray, at: int, phrases: list[tuple[int, np.ndarray]], slack: int) -> bool:
+    """Whether each phrase stands at its place, give or take ``slack``."""
+    return all(any(np.array_equal(words[max(0, k) : k + len(p)], p) for k in range(max(0, at + i - slack), at + i + slack + 1)) for i, p in phrases)
+
+
 def scan_document(index: Index, words: np.ndarray, places: np.ndarray, slack: int, least: float) -> list[tuple[str, int, float]]:
     """(licence, place, coverage) from the ``places`` of anchor words in a document."""
-    near: dict[int, list[int]] = {}
+    near: dict[tuple[int, int], list[int]] = {}
     for p in places.tolist():
         for t, i in index.postings[int(words[p])]:
-            near.setdefault(t, []).append(p - i)
-    found = []
-    for t, diagonals in near.items():
+            near.setdefault((t, i), []).append(p - i)
+    found: list[tuple[int, int, float]] = []
+    for t in {t for t, _ in near}:
         template = index.words[t]
-        need = max(1, (len({int(x) for x in template[index.anchors[t]]}) + 1) // 2)
-        d = np.sort(diagonals)
-        best: list[tuple[float, int]] = []
-        for x in np.unique(d):
-            if np.searchsorted(d, x + slack, "right") - np.searchsorted(d, x - slack) >= need:
-                share = coverage(words, int(x), template, slack)
-                span = words[max(0, x - slack) : max(0, x + len(template) + slack)]
-                if share >= least and all(find_phrase(span, q) for q in index.phrases[t]):
-                    best.append((share, int(x)))
+        diagonals = [np.array(near.get((t, i), [])) for i in index.anchors[t].tolist()]
+        if any(not len(d) for d in diagonals):
+            continue
+        best = []
+        for x in sorted({int(d) + s for d in diagonals[0] for s in range(-slack, slack + 1)}):
+            if all((np.abs(d - x) <= slack).any() for d in diagonals[1:]):
+                share = coverage(words, x, template, slack)
+                if share >= least and has_phrases(words, x, index.phrases[t], slack):
+                    best.append((-share, -coverage(words, x, template, 0), x))
         # of places that overlap, the one that agrees most
-        for share, x in sorted(best, key=lambda b: (-b[0], b[1])):
+        for share, _, x in sorted(best):
             if not any(n == t and abs(x - y) < len(template) for n, y, _ in found):
-                found.append((t, x, share))
+                found.append((t, x, -share))
     out: dict[tuple[str, int], float] = {}
     for t, x, share in found:
         k = (index.names[t], max(0, x))
