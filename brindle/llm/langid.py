@@ -21,6 +21,7 @@ from brindle.llm.textvec import Tokens, clean, mix, slabs
 
 BITS = 15
 UND = "und"
+LEAST_WORDS = 5
 
 
 def trigrams(tok: Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +130,8 @@ def detect(docs: DataFrame, model: Model | None = None, penalty: float = 3.0, le
     """One row a document: doc_id, languages and shares (by falling share), language (the first), n_words, keep.
 
     A text without words, null included, has no languages, language null and keep false. With a label
-    (``lang``) keep says whether the text has a share of that language, without one whether its main language
-    is other than ``und``."""
+    (``lang``) keep says whether the text has a share of that language, or fewer than ``LEAST_WORDS`` words, too few to
+    tell; without one whether its main language is other than ``und``."""
     model = model or fit(docs)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -142,13 +143,15 @@ def detect(docs: DataFrame, model: Model | None = None, penalty: float = 3.0, le
             order = np.argsort(-share, axis=1, kind="stable")
             size = (share > 0).sum(1)
             langs = [list(names[o[:s]]) for o, s in zip(order, size)]
-            yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64"), "languages": langs, "shares": [np.round(x[o[:s]], 4).tolist() for x, o, s in zip(share, order, size)], "language": [x[0] if x else None for x in langs], "n_words": words, "keep": [accepted(x, want) for x, want in zip(langs, p["lang"])]})
+            yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64"), "languages": langs, "shares": [np.round(x[o[:s]], 4).tolist() for x, o, s in zip(share, order, size)], "language": [x[0] if x else None for x in langs], "n_words": words, "keep": [accepted(x, want, n) for x, want, n in zip(langs, p["lang"], words)]})
 
     return docs.select("doc_id", "text", "lang").mapInPandas(run, "doc_id long, languages array<string>, shares array<double>, language string, n_words long, keep boolean")
 
 
-def accepted(langs: list[str], label) -> bool:
-    return label in langs if isinstance(label, str) else bool(langs) and langs[0] != UND
+def accepted(langs: list[str], label, words: int) -> bool:
+    if not langs:
+        return False
+    return label in langs or words < LEAST_WORDS if isinstance(label, str) else langs[0] != UND
 
 
 def keep_identified(docs: DataFrame, penalty: float = 3.0, least: float = 0.08) -> DataFrame:
@@ -159,8 +162,8 @@ def keep_identified(docs: DataFrame, penalty: float = 3.0, least: float = 0.08)
     def kept(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         m = held.value
         for text, lang in parts:
-            share, _ = m.mixture(clean(text), penalty, least)
-            yield pd.Series([accepted([m.languages[i] for i in np.argsort(-x, kind="stable") if x[i] > 0], want) for x, want in zip(share, lang)], dtype=bool)
+            share, words = m.mixture(clean(text), penalty, least)
+            yield pd.Series([accepted([m.languages[i] for i in np.argsort(-x, kind="stable") if x[i] > 0], want, n) for x, want, n in zip(share, lang, words)], dtype=bool)
 
     mark = temp_name(docs, "_kept")
     return docs.withColumn(mark, kept("text", "lang")).where(F.col(mark)).drop(mark)
