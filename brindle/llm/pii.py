@@ -15,9 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from brindle.llm.base import materialise, temp_name
 
@@ -140,6 +142,9 @@ def disclosing(docs: DataFrame, window: int = WINDOW, least: int = LEAST_CONTEXT
     return materialise(j.where(F.col("ratio") >= general).select("entity", "term", "ratio", F.when(F.col("ratio") >= remove, "remove").otherwise("general").alias("action")), "pii-terms")
 
 
+_FILTER_BITS = 1 << 22
+
+
 def term_class(s: str) -> str:
     return "[NUMBER]" if any(c.isdigit() for c in s) else "[NAME]" if s[:1].isupper() else "[TERM]"
 
@@ -171,35 +176,62 @@ def sanitise(text: str, terms: dict[str, str]) -> tuple[str, list[str], int]:
     return "".join([*out, plain(text[at:])]) if spans or terms else text, kinds, changed
 
 
-_FILTER_BITS = 1 << 22
+def _suspects(text: str | None, on: np.ndarray | None) -> list[int]:
+    """Hashes of the text's entities that the filter may hold."""
+    if on is None or not isinstance(text, str):
+        return []
+    return sorted({e for a, b, _ in entities(text) if on[(e := entity_hash(text[a:b])) % _FILTER_BITS]})
+
+
+def _rewritten(docs: DataFrame, held, terms: str | None) -> DataFrame:
+    """``docs`` with text sanitised and two columns more, kinds and n_terms. With ``terms`` that column has each row's map; without, rows that the filter
+    ``held`` suspects of having some are left out. Other columns pass through as Arrow arrays, untouched."""
+    out = StructType([f for f in docs.schema.fields if f.name != terms] + [StructField(n, t) for n, t in zip(_added(docs), (ArrayType(StringType()), LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.unpackbits(held.value).astype(bool) if held is not None and terms is None else None
+        for b in batches:
+            if on is not None:
+                b = b.filter(pa.array([not _suspects(t, on) for t in b.column("text").to_pylist()], pa.bool_()))
+            maps = [dict(m) if m else {} for m in b.column(terms).to_pylist()] if terms else [{}] * b.num_rows
+            res = [sanitise(t, m) if t is not None else (None, [], 0) for t, m in zip(b.column("text").to_pylist(), maps)]
+            cols = {n: b.column(n) for n in b.schema.names if n != terms}
+            cols["text"] = pa.array([r[0] for r in res], pa.string())
+            yield pa.RecordBatch.from_arrays([*cols.values(), pa.array([r[1] for r in res], pa.list_(pa.string())), pa.array([r[2] for r in res], pa.int64())], names=out.names)
+
+    return docs.mapInArrow(run, out)
+
 
+def _added(docs: DataFrame) -> tuple[str, str]:
+    return temp_name(docs, "kinds"), temp_name(docs, "n_terms")
 
-def _with_terms(docs: DataFrame, terms: DataFrame, name: str) -> DataFrame:
-    """Add ``name``: null, or the document's terms as a map to actions. Only documents that hold an entity with terms, found by
-    a fixed-size filter of their hashes, go through the join; the others are passed on as they are."""
-    found = terms.select(F.pmod("entity", F.lit(_FILTER_BITS)).cast("int").alias("bit")).distinct()
+
+def _cleaned(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``docs`` sanitised, with kinds and n_terms. Only documents that hold an entity with terms, found by a fixed-size filter of their hashes, go
+    through a join; the others are rewritten as they are read."""
     bits = np.zeros(_FILTER_BITS, bool)
-    for row in found.toLocalIterator():
+    for row in terms.select(F.pmod("entity", F.lit(_FILTER_BITS)).cast("int").alias("bit")).distinct().toLocalIterator():
         bits[row["bit"]] = True
+    if not bits.any():
+        return _rewritten(docs, None, None)
     held = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    key, row, row2, name = (temp_name(docs, c) for c in ("_suspects", "_row", "_row_of", "_terms"))
+    schema = StructType([*docs.schema.fields, StructField(key, ArrayType(LongType()))])
 
-    @F.pandas_udf("array<long>")
-    def suspects(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = np.unpackbits(held.value).astype(bool)
-        for t in texts:
-            yield pd.Series([sorted({e for a, b, _ in entities(x) if on[(e := entity_hash(x[a:b])) % _FILTER_BITS]}) if isinstance(x, str) else [] for x in t], dtype=object)
+        for b in batches:
+            found = [_suspects(t, on) for t in b.column("text").to_pylist()]
+            mask = pa.array([bool(x) for x in found], pa.bool_())
+            few = b.filter(mask)
+            yield pa.RecordBatch.from_arrays([*few.columns, pa.array([x for x in found if x], pa.list_(pa.int64()))], names=[*few.schema.names, key])
 
-    kind = "map<string,string>"
-    if not bits.any():
-        return docs.withColumn(name, F.lit(None).cast(kind))
-    key = temp_name(docs, "_suspects")
-    row, row2 = temp_name(docs, "_row"), temp_name(docs, "_row_of")
-    marked = docs.withColumn(key, suspects("text"))
-    plain = marked.where(F.size(key) == 0).withColumn(name, F.lit(None).cast(kind)).drop(key)
-    some = materialise(marked.where(F.size(key) > 0).withColumn(row, F.monotonically_increasing_id()), "pii-suspects")
+    some = materialise(docs.mapInArrow(suspected, schema).withColumn(row, F.monotonically_increasing_id()), "pii-suspects")
     pairs = some.select(row, F.explode(key).alias("entity")).join(terms, "entity").groupBy(row, "term").agg(F.min(F.when(F.col("action") == "remove", "0remove").otherwise("1general")).alias("action"))
     maps = pairs.groupBy(F.col(row).alias(row2)).agg(F.map_from_entries(F.collect_list(F.struct("term", F.expr("substring(action, 2)")))).alias(name))
-    return plain.unionByName(some.join(maps, F.col(row) == F.col(row2), "left").select(*docs.columns, name))
+    known = some.join(maps, F.col(row) == F.col(row2), "left").select(*docs.columns, name)
+    plain, told = _rewritten(docs, held, None), _rewritten(known, held, name)
+    return plain.unionByName(told)
 
 
 def clean_documents(docs: DataFrame, **params) -> DataFrame:
@@ -207,26 +239,12 @@ def clean_documents(docs: DataFrame, **params) -> DataFrame:
 
     A null text stays null and an empty one empty. A text without entities isn't touched. Rows with one id are
     cleaned each; an empty table gives no rows."""
-    full = _with_terms(docs.select("doc_id", "text"), disclosing(docs, **params), "terms")
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            res = [sanitise(t, dict(m) if m is not None else {}) if isinstance(t, str) else (None, [], 0) for t, m in zip(p["text"], p["terms"])]
-            yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64"), "text": [r[0] for r in res], "kinds": [r[1] for r in res], "n_terms": [r[2] for r in res]})
-
-    return full.mapInPandas(run, "doc_id long, text string, kinds array<string>, n_terms long")
+    return _cleaned(docs.select("doc_id", "text"), disclosing(docs, **params))
 
 
 def clean_columns(docs: DataFrame, **params) -> DataFrame:
     """Pipeline form: the documents with their columns, text sanitised and n_chars (if there is one) its new length."""
-    name = temp_name(docs, "_terms")
-
-    @F.pandas_udf("string")
-    def cleaned(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for text, terms in parts:
-            yield pd.Series([sanitise(t, dict(m) if m is not None else {})[0] if isinstance(t, str) else None for t, m in zip(text, terms)], dtype=object)
-
-    out = _with_terms(docs, disclosing(docs, **params), name).withColumn("text", cleaned("text", name))
+    out = _cleaned(docs, disclosing(docs, **params)).select(*docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
