@@ -8,7 +8,7 @@ from brindle.llm.base import table
 def op1_katz_scores(spark, sf_dir):
     from brindle.llm import katz
 
-    return katz.score(table(spark, sf_dir, "documents"))
+    return katz.score(table(spark, sf_dir, "documents"), cutoffs=(1, 1, 1))
 
 
 def op2_licence_scan(spark, sf_dir):

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from brindle.llm import katz
+from brindle.llm import katz, registry
 from tests.llm import helpers as h
 
 
@@ -55,6 +55,17 @@ def test_scores_equal_brute_force(spark, order, cutoffs):
         assert got[i]["n_tokens"] == len(d) - order
 
 
+def test_registered_query_keeps_what_is_seen_once(spark, tmp_path):
+    texts = [*h.mixed(24), "", None, "the the the of the the"]
+    h.documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    b = Brute(texts, 3, (1, 1, 1))
+    got = {r["doc_id"]: r for r in registry.op1_katz_scores(spark, str(tmp_path)).collect()}
+    for i, d in enumerate(b.docs):
+        grams = [tuple(d[j - 2 : j + 1]) for j in range(2, len(d))]
+        assert got[i]["log_prob"] == pytest.approx(sum(math.log(b.p(g)) for g in grams), rel=1e-5)
+        assert got[i]["backed_off"] == 0  # each trigram of the corpus is in the model
+
+
 def test_contexts_are_normalised():
     b = Brute(h.mixed(20), 3, (1, 2, 2))
     words = [g[0] for g in b.c[0]]
