@@ -3,7 +3,8 @@
 Each language has a model of hashed character trigrams, and a flat component ``und`` stands for text like
 none of them. A word's likelihood under a language is the product over its trigrams. For each
 document, expectation-maximisation over its words estimates the proportions of the components; nested
-sets of the strongest components are refitted and the set of largest penalised likelihood is kept.
+sets of the strongest components are refitted and the set of largest penalised likelihood is kept, however small its
+shares (``least`` refuses sets with a smaller share; 0 by default).
 """
 
 from __future__ import annotations
@@ -126,7 +127,7 @@ def fit(docs: DataFrame, per_language: int = 1000, seed: int = 11) -> Model:
     return Model([*langs, UND], np.concatenate([logp, und]))
 
 
-def detect(docs: DataFrame, model: Model | None = None, penalty: float = 3.0, least: float = 0.08) -> DataFrame:
+def detect(docs: DataFrame, model: Model | None = None, penalty: float = 3.0, least: float = 0.0) -> DataFrame:
     """One row a document: doc_id, languages and shares (by falling share), language (the first), n_words, keep.
 
     A text without words, null included, has no languages, language null and keep false. With a label
@@ -154,7 +155,7 @@ def accepted(langs: list[str], label, words: int) -> bool:
     return label in langs or words < LEAST_WORDS if isinstance(label, str) else langs[0] != UND
 
 
-def keep_identified(docs: DataFrame, penalty: float = 3.0, least: float = 0.08) -> DataFrame:
+def keep_identified(docs: DataFrame, penalty: float = 3.0, least: float = 0.0) -> DataFrame:
     """Pipeline form: the documents that ``detect`` keeps, with all their columns."""
     held = docs.sparkSession.sparkContext.broadcast(fit(docs))
 

@@ -56,6 +56,16 @@ def test_languages_and_mixtures_on_held_out_documents(spark):
     assert got[3]["language"] == "und" and not got[3]["keep"] and got[2]["keep"]
 
 
+def test_short_passage_of_a_long_text(spark):
+    rng = random.Random(4)
+    train = h.documents(spark, [h.sentence(rng, "en" if i % 2 else "de", 60) for i in range(80)], ["en" if i % 2 else "de" for i in range(80)])
+    texts = [" ".join([h.sentence(rng, "en", 15_000), h.sentence(rng, "de", n), h.sentence(rng, "en", 5_000 - n)]) for n in (0, 600, 1_000)]
+    got = {r["doc_id"]: r for r in langid.detect(h.documents(spark, texts, [None] * 3), langid.fit(train)).collect()}
+    assert got[0]["languages"] == ["en"]
+    for i, share in ((1, 0.03), (2, 0.05)):
+        assert got[i]["languages"] == ["en", "de"] and abs(got[i]["shares"][1] - share) < 0.01
+
+
 def test_mixture_is_the_em_fixed_point(spark):
     m = langid.fit(h.documents(spark, h.mixed(60), ["en" if i % 2 else "de" for i in range(60)]))
     t = h.sentence(random.Random(9), "en", 30) + " " + h.sentence(random.Random(8), "de", 30)
