@@ -1,14 +1,15 @@
 """Operator 9, sanitising personal data by information content.
 
 Protected entities (addresses, numbers, secrets) are found by their form and always replaced by the name of
-their kind. Terms that stand beside an entity may give it away as well: over the whole corpus, a term's pointwise mutual
-information with the entity is compared with the entity's information content, both from document counts.
-The ratio is 1 where the term tells the entity for sure. Above ``remove`` the term is taken out, above ``general`` it is
+their kind. Words that occur in the same documents as an entity may give it away as well: over the whole corpus, a term's pointwise
+mutual information with the entity is compared with the entity's information content. Documents, whole ones, are the unit of all
+counts. The ratio is 1 where the term tells the entity for sure. Above ``remove`` the term is taken out, above ``general`` it is
 replaced by the class of its form, in the documents that hold the entity.
 """
 
 from __future__ import annotations
 
+import functools
 import ipaddress
 import re
 from collections.abc import Iterator
@@ -19,13 +20,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from brindle.llm.base import materialise, temp_name
+from brindle.llm.base import bit_filter, in_filter, materialise, temp_name
+from brindle.llm.textvec import Tokens, clean, slabs
 
-WINDOW, LEAST_CONTEXTS, GENERAL, REMOVE = 8, 3, 0.8, 0.95
+WINDOW, GENERAL, REMOVE = 8, 0.8, 0.95
 _FORMS = {
-    "EMAIL": r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+",
+    "EMAIL": r"[\w.+%-]++@[\w-]+(?:\.[\w-]+)+",
     "KEY": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b|-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]*PRIVATE KEY-----|$)",
     "SECRET": r"(?<=[=:\"'])[0-9a-fA-F]{32,64}\b",
     "IP": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)",
@@ -34,10 +36,10 @@ _FORMS = {
     "PHONE": r"(?<!\w)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)|(?<!\w)(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\w)",
     "IBAN": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
 }
+_NUMBERS = ("IP", "CARD", "SSN", "PHONE", "IBAN")
 _ANY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in _FORMS.items()))
 _DIGIT, _SECRET_START = re.compile(r"\d"), re.compile(r"[=:\"'][0-9a-fA-F]{32}")
 _NUMBER_START = re.compile(r"\d(?:\d\d|\.\d)|\+\d|[A-Z]{2}\d{2}")
-_WORD = re.compile(r"\w+")
 
 
 def luhn(digits: str) -> bool:
@@ -60,198 +62,225 @@ def valid(kind: str, s: str) -> bool:
     return True
 
 
-def possible(text: str) -> bool:
-    """Whether the text has what some form can't match without; most texts are done with this."""
-    if "@" in text or "AKIA" in text or "ASIA" in text or "sk-" in text or "PRIVATE KEY" in text or ("gh" in text and "_" in text):
-        return True
-    return bool((_DIGIT.search(text) and _NUMBER_START.search(text)) or _SECRET_START.search(text))
+def possible(text: str) -> tuple[str, ...]:
+    """The forms that may match: each is left out only if the text lacks what it can't match without."""
+    out = ()
+    if "@" in text:
+        out += ("EMAIL",)
+    if "AKIA" in text or "ASIA" in text or "sk-" in text or "PRIVATE KEY" in text or ("gh" in text and "_" in text):
+        out += ("KEY",)
+    if _SECRET_START.search(text):
+        out += ("SECRET",)
+    if _DIGIT.search(text) and _NUMBER_START.search(text):
+        out += _NUMBERS
+    return out
+
+
+@functools.lru_cache(16)
+def _pattern(kinds: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(f"(?P<{k}>{_FORMS[k]})" for k in kinds))
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each entity, from left to right without overlap."""
-    if not possible(text):
-        return []
-    return [(m.start(), m.end(), m.lastgroup) for m in _ANY.finditer(text) if valid(m.lastgroup, m.group())]
+    kinds = possible(text)
+    return [(m.start(), m.end(), m.lastgroup) for m in _pattern(kinds).finditer(text) if valid(m.lastgroup, m.group())] if kinds else []
 
 
-def _h(s: str) -> int:
-    return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
+def _h(b: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(b) - (1 << 63)
 
 
 def entity_hash(s: str) -> int:
-    return _h(re.sub(r"\s+", " ", s.lower()))
-
-
-def context(text: str, a: int, b: int, spans: list[tuple[int, int, str]], window: int) -> list[str]:
-    """The lower-case words within ``window`` words on either side, without those of entities."""
-    width, out = window * 40, []
-    covered = [(x, y) for x, y, _ in spans]
-    free = lambda m, off: not any(x < m.end() + off and m.start() + off < y for x, y in covered)
-    left = [m for m in _WORD.finditer(text[max(0, a - width) : a])]
-    out += [m.group().lower() for m in left[-window:] if free(m, max(0, a - width))]
-    n = 0
-    for m in _WORD.finditer(text, b, min(len(text), b + width)):
-        if n == window:
-            break
-        n += 1
-        if free(m, 0):
-            out.append(m.group().lower())
-    return out
+    return _h(re.sub(r"\s+", " ", s.lower()).encode("utf-8", "surrogatepass"))
 
 
-def contexts(docs: DataFrame, window: int) -> DataFrame:
-    """(entity, term, setting) for each term beside an entity, and (entity, null, setting) for the entity in a document; setting
-    is a hash of the words around, so copies of a text are one setting. One row each per document."""
+def term_hash(word: str) -> int:
+    """The number that stands for a word, in tables and maps."""
+    return int(Tokens([word], fold=True).hash.view(np.int64)[0])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            out = []
-            for t in p["text"]:
-                if not isinstance(t, str):
-                    continue
-                spans, seen = entities(t), set()
-                for a, b, _ in spans:
-                    e = entity_hash(t[a:b])
-                    words = context(t, a, b, spans, window)
-                    s = _h(" ".join(words))
-                    seen |= {(e, w, s) for w in words if not w.isdigit()} | {(e, None, s)}
-                out += seen
-            yield pd.DataFrame(out, columns=["entity", "term", "setting"]).astype({"entity": "int64", "setting": "int64"})
-
-    return docs.select("text").mapInPandas(run, "entity long, term string, setting long")
 
+def text_key(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
 
-def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, df) over all documents, of the words in ``terms``."""
 
-    words = docs.select(F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '(?U)\\w+', 0)"))).alias("term"))
-    return words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+def _free(tok: Tokens, spans: list[tuple[int, int, str]]) -> np.ndarray:
+    """Which words lie outside all entities."""
+    if not spans:
+        return np.ones(len(tok.start), bool)
+    a, b = (np.array([s[i] for s in spans]) for i in (0, 1))
+    at = np.searchsorted(b, tok.start, "right")  # the first entity that ends after the word begins
+    return (at == len(b)) | (a[np.minimum(at, len(b) - 1)] >= tok.end)
 
 
-def disclosing(docs: DataFrame, window: int = WINDOW, least: int = LEAST_CONTEXTS, general: float = GENERAL, remove: float = REMOVE) -> DataFrame:
-    """(entity, term, ratio, action) of the terms that give an entity away.
+def facts_of(text: str, window: int) -> tuple[list[int], list[int], np.ndarray] | None:
+    """(entities, setting of each, distinct words) of a document with entities. An entity's setting is a hash of the ``window`` words on either
+    side of its first occurrence, without those of entities: copies of a passage are one setting."""
+    spans = entities(text)
+    if not spans:
+        return None
+    tok = Tokens([text], fold=True)
+    free, seen = _free(tok, spans), {}
+    for a, b, _ in spans:
+        e = entity_hash(text[a:b])
+        if e not in seen:
+            i, j = np.searchsorted(tok.start, a), np.searchsorted(tok.start, b)
+            near = np.concatenate((np.arange(max(0, i - window), i), np.arange(j, min(len(free), j + window))))
+            seen[e] = _h(tok.hash[near[free[near]]].tobytes())
+    return list(seen), list(seen.values()), np.unique(tok.hash).view(np.int64)
+
+
+def facts(docs: DataFrame, window: int) -> DataFrame:
+    """(text_key, low: its first 8 bytes as a number, entities, settings, terms) of each document that has entities."""
 
-    A pair counts only if it was seen in ``least`` different settings: in one setting every word beside an entity
-    would tell it. Documents are the unit of all probabilities."""
-    seen = materialise(contexts(docs, window), "pii-contexts")
-    # documents per (entity, term): rows; settings: distinct surroundings
-    joint = seen.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("both"), F.countDistinct("setting").alias("settings")).where(F.col("settings") >= least)
-    joint = materialise(joint, "pii-joint")
-    alone = seen.where("term is null").groupBy("entity").agg(F.count("*").alias("n_entity"))
-    df = _document_counts(docs, joint.select("term").distinct()) if not joint.isEmpty() else docs.sparkSession.createDataFrame([], "term string, df long")
-    total = docs.select(F.count("*").alias("n"))
-    n = F.col("n").cast("double")
-    j = joint.join(alone, "entity").join(df, "term").crossJoin(F.broadcast(total))
-    both = F.least("both", "n_entity", "df").cast("double")
-    pmi = F.log2(both * n / (F.col("n_entity") * F.col("df")))
-    content = F.log2(n / F.col("n_entity"))
-    j = j.withColumn("ratio", F.when(content > 0, pmi / content).otherwise(0.0))
-    return materialise(j.where(F.col("ratio") >= general).select("entity", "term", "ratio", F.when(F.col("ratio") >= remove, "remove").otherwise("general").alias("action")), "pii-terms")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out = [(k := text_key(t), int.from_bytes(k[:8], "little", signed=True), *f) for t in p["text"] if isinstance(t, str) and (f := facts_of(t, window))]
+            yield pd.DataFrame(out, columns=["text_key", "low", "entities", "settings", "terms"])
 
+    return docs.select("text").mapInPandas(run, "text_key binary, low long, entities array<long>, settings array<long>, terms array<long>")
 
-_FILTER_BITS = 1 << 22
+
+def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, df) over all documents, of the words in ``terms``: each slab of texts counts what a fixed-size filter lets through."""
+    on = docs.sparkSession.sparkContext.broadcast(bit_filter(terms))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            texts = clean(p["text"])
+            for a, b in slabs(texts):
+                tok = Tokens(texts[a:b], fold=True)
+                some = np.flatnonzero(in_filter(on.value, tok.hash))
+                h, d = tok.hash[some], tok.doc[some]
+                by = np.lexsort((d, h))
+                h, d = h[by], d[by]
+                new = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]))) if len(h) else np.empty(0, bool)
+                words, n = np.unique(h[new], return_counts=True)
+                yield pd.DataFrame({"term": words.view(np.int64), "df": n})
+
+    return docs.select("text").mapInPandas(run, "term long, df long").join(terms, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def _pairs(known: DataFrame, entities: DataFrame) -> DataFrame:
+    """(text_key, low, setting, entity, n_entity, term) of the entities in ``entities`` and the words of their documents."""
+    each = known.select("text_key", "low", F.explode(F.arrays_zip("entities", "settings")).alias("x"), "terms").select("text_key", "low", F.col("x.entities").alias("entity"), F.col("x.settings").alias("setting"), "terms")
+    return each.join(entities, "entity").select("text_key", "low", "setting", "entity", "n_entity", F.explode("terms").alias("term"))
+
+
+def disclosing(docs: DataFrame, known: DataFrame, general: float = GENERAL, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
+    """((entity, n_entity) of the entities seen in two different settings; (entity, term, both, df, ratio, action) of the terms that give one away).
+
+    A pair counts only if it was seen in two different settings: in one setting every word beside an entity would tell it. Counts
+    are numbers of documents, however often a document repeats entity or term."""
+    two = F.col("low") < F.col("high")
+    of = known.select(F.explode(F.arrays_zip("entities", "settings")).alias("x")).select(F.col("x.entities").alias("entity"), F.col("x.settings").alias("setting"))
+    often = materialise(of.groupBy("entity").agg(F.count("*").alias("n_entity"), F.min("setting").alias("low"), F.max("setting").alias("high")).where(two).select("entity", "n_entity"), "pii-entities")
+    joint = _pairs(known, often).groupBy("entity", "term").agg(F.count("*").alias("both"), F.min("setting").alias("low"), F.max("setting").alias("high"), F.max("n_entity").alias("n_entity")).where(two).drop("low", "high")
+    joint = materialise(joint, "pii-joint")
+    terms = joint.select("term").distinct()
+    if terms.isEmpty():
+        return often, joint.select("entity", "term", "both", F.lit(0).cast("long").alias("df"), F.lit(0.0).alias("ratio"), F.lit("").alias("action"))
+    n = F.lit(float(docs.count()))
+    pmi = F.log2(F.col("both") * n / (F.col("n_entity") * F.col("df")))
+    content = F.log2(n / F.col("n_entity"))
+    j = joint.join(_document_counts(docs, terms), "term").withColumn("ratio", F.when(content > 0, pmi / content).otherwise(0.0)).where(F.col("ratio") >= general)
+    return often, materialise(j.select("entity", "term", "both", "df", "ratio", F.when(F.col("ratio") >= remove, "remove").otherwise("general").alias("action")), "pii-terms")
 
 
 def term_class(s: str) -> str:
     return "[NUMBER]" if any(c.isdigit() for c in s) else "[NAME]" if s[:1].isupper() else "[TERM]"
 
 
-def sanitise(text: str, terms: dict[str, str]) -> tuple[str, list[str], int]:
-    """(text with its entities replaced and ``terms`` generalised or removed, kinds replaced, terms changed)."""
+def sanitise(text: str, terms: dict[int, str]) -> tuple[str, list[str], int]:
+    """(text with its entities replaced and ``terms``, by hash, generalised or removed; kinds replaced; words changed)."""
     spans = entities(text)
-    out, at, kinds, changed = [], 0, [], 0
-
-    def plain(s: str) -> str:
-        nonlocal changed
-        if not terms:
-            return s
-
-        def swap(m: re.Match) -> str:
-            nonlocal changed
-            action = terms.get(m.group().lower())
-            if action is None:
-                return m.group()
-            changed += 1
-            return "" if action == "remove" else term_class(m.group())
-
-        return _WORD.sub(swap, s)
-
-    for a, b, kind in spans:
-        out += [plain(text[at:a]), f"[{kind}]"]
-        kinds.append(kind)
+    edits = [(a, b, f"[{kind}]") for a, b, kind in spans]
+    if terms:
+        tok = Tokens([text], fold=True)
+        hashes = tok.hash.view(np.int64)
+        for i in np.flatnonzero(np.isin(hashes, np.fromiter(terms, np.int64, len(terms))) & _free(tok, spans)).tolist():
+            a, b = int(tok.start[i]), int(tok.end[i])
+            edits.append((a, b, "" if terms[int(hashes[i])] == "remove" else term_class(text[a:b])))
+        edits.sort()
+    out, at = [], 0
+    for a, b, new in edits:
+        out += [text[at:a], new]
         at = b
-    return "".join([*out, plain(text[at:])]) if spans or terms else text, kinds, changed
+    return "".join([*out, text[at:]]) if edits else text, [k for _, _, k in spans], len(edits) - len(spans)
 
 
-def _suspects(text: str | None, on: np.ndarray | None) -> list[int]:
-    """Hashes of the text's entities that the filter may hold."""
-    if on is None or not isinstance(text, str):
-        return []
-    return sorted({e for a, b, _ in entities(text) if on[(e := entity_hash(text[a:b])) % _FILTER_BITS]})
+def _added(docs: DataFrame) -> tuple[str, str]:
+    return temp_name(docs, "kinds"), temp_name(docs, "n_terms")
 
 
-def _rewritten(docs: DataFrame, held, terms: str | None) -> DataFrame:
-    """``docs`` with text sanitised and two columns more, kinds and n_terms. With ``terms`` that column has each row's map; without, rows that the filter
-    ``held`` suspects of having some are left out. Other columns pass through as Arrow arrays, untouched."""
-    out = StructType([f for f in docs.schema.fields if f.name != terms] + [StructField(n, t) for n, t in zip(_added(docs), (ArrayType(StringType()), LongType()))])
+def _keys(b: pa.RecordBatch) -> list[bytes]:
+    return [text_key(t) if t is not None else b"\0" * 16 for t in b.column("text").to_pylist()]
+
+
+def _may(on: np.ndarray, keys: list[bytes]) -> np.ndarray:
+    return in_filter(on, np.frombuffer(b"".join(keys), np.uint64)[::2].copy())
+
+
+def _rewritten(docs: DataFrame, drop: tuple[str, ...] = (), maps: str | None = None, held=None) -> DataFrame:
+    """``docs`` with text sanitised and two columns more, kinds and n_terms. ``maps`` names the column of each row's terms; ``held`` is a filter of
+    texts that are done elsewhere and left out here. Other columns pass through as Arrow arrays, untouched."""
+    out = StructType([f for f in docs.schema.fields if f.name not in drop] + [StructField(n, t) for n, t in zip(_added(docs), (ArrayType(StringType()), LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.unpackbits(held.value).astype(bool) if held is not None and terms is None else None
         for b in batches:
-            if on is not None:
-                b = b.filter(pa.array([not _suspects(t, on) for t in b.column("text").to_pylist()], pa.bool_()))
-            maps = [dict(m) if m else {} for m in b.column(terms).to_pylist()] if terms else [{}] * b.num_rows
-            res = [sanitise(t, m) if t is not None else (None, [], 0) for t, m in zip(b.column("text").to_pylist(), maps)]
-            cols = {n: b.column(n) for n in b.schema.names if n != terms}
+            if held is not None:
+                b = b.filter(pa.array(~_may(held.value, _keys(b)), pa.bool_()))
+            told = [dict(m) if m else {} for m in b.column(maps).to_pylist()] if maps else [{}] * b.num_rows
+            res = [sanitise(t, m) if t is not None else (None, [], 0) for t, m in zip(b.column("text").to_pylist(), told)]
+            cols = {n: b.column(n) for n in b.schema.names if n not in drop}
             cols["text"] = pa.array([r[0] for r in res], pa.string())
             yield pa.RecordBatch.from_arrays([*cols.values(), pa.array([r[1] for r in res], pa.list_(pa.string())), pa.array([r[2] for r in res], pa.int64())], names=out.names)
 
     return docs.mapInArrow(run, out)
 
 
-def _added(docs: DataFrame) -> tuple[str, str]:
-    return temp_name(docs, "kinds"), temp_name(docs, "n_terms")
+def _maps(known: DataFrame, often: DataFrame, terms: DataFrame) -> DataFrame:
+    """(text_key, low: its first 8 bytes, map: the text's terms and what becomes of them) of the texts that have any."""
+    pairs = _pairs(known, often).join(terms.select("entity", "term", "action"), ["entity", "term"]).groupBy("text_key", "term").agg(F.max("action").alias("action"), F.max("low").alias("low"))
+    return materialise(pairs.groupBy("text_key").agg(F.max("low").alias("low"), F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("map")), "pii-maps")
 
 
-def _cleaned(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``docs`` sanitised, with kinds and n_terms. Only documents that hold an entity with terms, found by a fixed-size filter of their hashes, go
+def _cleaned(docs: DataFrame, window: int = WINDOW, general: float = GENERAL, remove: float = REMOVE) -> DataFrame:
+    """``docs`` sanitised, with kinds and n_terms. Only texts with terms to change, found by a fixed-size filter of their digests, go
     through a join; the others are rewritten as they are read."""
-    bits = np.zeros(_FILTER_BITS, bool)
-    for row in terms.select(F.pmod("entity", F.lit(_FILTER_BITS)).cast("int").alias("bit")).distinct().toLocalIterator():
-        bits[row["bit"]] = True
-    if not bits.any():
-        return _rewritten(docs, None, None)
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
-    key, row, row2, name = (temp_name(docs, c) for c in ("_suspects", "_row", "_row_of", "_terms"))
-    schema = StructType([*docs.schema.fields, StructField(key, ArrayType(LongType()))])
+    known = materialise(facts(docs, window), "pii-facts")
+    often, terms = disclosing(docs, known, general, remove)
+    maps = _maps(known, often, terms)
+    on = bit_filter(maps.select("low"))
+    if on is None:
+        return _rewritten(docs)
+    held = docs.sparkSession.sparkContext.broadcast(on)
+    key, told, name = (temp_name(docs, c) for c in ("_text_key", "_told", "_terms"))
+    schema = StructType([*docs.schema.fields, StructField(key, BinaryType())])
 
     def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.unpackbits(held.value).astype(bool)
         for b in batches:
-            found = [_suspects(t, on) for t in b.column("text").to_pylist()]
-            mask = pa.array([bool(x) for x in found], pa.bool_())
-            few = b.filter(mask)
-            yield pa.RecordBatch.from_arrays([*few.columns, pa.array([x for x in found if x], pa.list_(pa.int64()))], names=[*few.schema.names, key])
+            keys = _keys(b)
+            mask = _may(held.value, keys)
+            few = b.filter(pa.array(mask, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*few.columns, pa.array([k for k, m in zip(keys, mask) if m], pa.binary())], names=[*few.schema.names, key])
 
-    some = materialise(docs.mapInArrow(suspected, schema).withColumn(row, F.monotonically_increasing_id()), "pii-suspects")
-    pairs = some.select(row, F.explode(key).alias("entity")).join(terms, "entity").groupBy(row, "term").agg(F.min(F.when(F.col("action") == "remove", "0remove").otherwise("1general")).alias("action"))
-    maps = pairs.groupBy(F.col(row).alias(row2)).agg(F.map_from_entries(F.collect_list(F.struct("term", F.expr("substring(action, 2)")))).alias(name))
-    known = some.join(maps, F.col(row) == F.col(row2), "left").select(*docs.columns, name)
-    plain, told = _rewritten(docs, held, None), _rewritten(known, held, name)
-    return plain.unionByName(told)
+    few = docs.mapInArrow(suspected, schema)
+    known_few = few.join(maps.select(F.col("text_key").alias(told), F.col("map").alias(name)), F.col(key) == F.col(told), "left").drop(told)
+    return _rewritten(docs, held=held).unionByName(_rewritten(known_few, (key, name), name))
 
 
 def clean_documents(docs: DataFrame, **params) -> DataFrame:
-    """One row a document: doc_id, text (sanitised), kinds (of the entities replaced, in order), n_terms (terms changed).
+    """One row a document: doc_id, text (sanitised), kinds (of the entities replaced, in order), n_terms (words changed).
 
     A null text stays null and an empty one empty. A text without entities isn't touched. Rows with one id are
-    cleaned each; an empty table gives no rows."""
-    return _cleaned(docs.select("doc_id", "text"), disclosing(docs, **params))
+    cleaned each, equal texts alike; an empty table gives no rows."""
+    return _cleaned(docs.select("doc_id", "text"), **params)
 
 
 def clean_columns(docs: DataFrame, **params) -> DataFrame:
     """Pipeline form: the documents with their columns, text sanitised and n_chars (if there is one) its new length."""
-    out = _cleaned(docs, disclosing(docs, **params)).select(*docs.columns)
+    out = _cleaned(docs, **params).select(*docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -31,6 +31,17 @@ def char_class() -> np.ndarray:
     return t
 
 
+@functools.lru_cache(1)
+def lower_table() -> np.ndarray:
+    """The lower case of each code point whose lower case is one code point."""
+    t = np.arange(0x110000, dtype=np.uint32)
+    for i in range(0x110000):
+        c = chr(i).lower()
+        if len(c) == 1:
+            t[i] = ord(c)
+    return t
+
+
 _pow: dict[str, np.ndarray] = {}
 
 
@@ -80,12 +91,16 @@ class Tokens:
 
     __slots__ = ("codes", "doc", "end", "first", "hash", "kind", "start", "text_start")
 
-    def __init__(self, texts: list[str], lower: bool = True, symbols: bool = False):
+    def __init__(self, texts: list[str], lower: bool = True, symbols: bool = False, fold: bool = False):
+        """``lower`` lower-cases whole texts; ``fold`` does so by code point, which keeps offsets those of the text as given."""
+        lower = lower and not fold
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         if lower:
             texts = [t.lower() for t in texts]
             lens = np.fromiter(map(len, texts), np.int64, len(texts))
         codes = np.frombuffer(("\0".join(texts) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+        if fold:
+            codes = lower_table()[codes]
         self.codes = codes
         self.text_start = np.concatenate(([0], np.cumsum(lens + 1)))[: len(texts) + 1]
         cls = char_class()[codes]
