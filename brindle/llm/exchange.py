@@ -9,13 +9,11 @@ occurs there, so a frequent key weighs as much as there are blocks.
 
 from __future__ import annotations
 
-import gc
 import math
-import time
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -32,28 +30,34 @@ def unpack(b: bytes, dtype) -> np.ndarray:
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    return pack(np.diff(keys, prepend=np.uint64(0)))
+    """Sorted keys as differences; the low bits that all of them lack aren't stored."""
+    low = int(np.bitwise_or.reduce(keys)) if len(keys) else 0
+    z = (low & -low).bit_length() - 1 if low else 0
+    return bytes([z]) + pack(np.diff(keys >> np.uint64(z), prepend=np.uint64(0)))
 
 
 def unpack_sorted(b: bytes) -> np.ndarray:
-    return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
+    return np.cumsum(unpack(b[1:], np.uint64), dtype=np.uint64) << np.uint64(b[0])
 
 
-def pack_sparse(a: np.ndarray) -> bytes:
-    """A float array that is mostly 0: where it isn't, and the values there."""
-    on = a != 0
-    head = pack(np.packbits(on)) if len(a) else b""
-    return len(a).to_bytes(8, "little") + len(head).to_bytes(8, "little") + head + (pack(a[on]) if on.any() else b"")
+def pack_values(a: np.ndarray) -> bytes:
+    """Floats that repeat: the distinct ones and which each is, where that is shorter than the floats themselves."""
+    plain = b"\0" + pack(a)
+    if not len(a):
+        return plain
+    values, place = np.unique(a, return_inverse=True)
+    if 4 * len(values) > 3 * len(a):
+        return plain
+    head = pack(values)
+    told = b"\1" + len(head).to_bytes(8, "little") + head + pack(place.astype(np.uint32))
+    return min(plain, told, key=len)
 
 
-def unpack_sparse(b: bytes) -> np.ndarray:
-    n, head = int.from_bytes(b[:8], "little"), int.from_bytes(b[8:16], "little")
-    out = np.zeros(n)
-    if n:
-        on = np.unpackbits(unpack(b[16 : 16 + head], np.uint8), count=n).astype(bool)
-        if on.any():
-            out[on] = unpack(b[16 + head :], np.float64)
-    return out
+def unpack_values(b: bytes) -> np.ndarray:
+    if b[0] == 0:
+        return unpack(b[1:], np.float64)
+    n = int.from_bytes(b[1:9], "little")
+    return unpack(b[9 : 9 + n], np.float64)[unpack(b[9 + n :], np.uint32)]
 
 
 def bounds(buckets: int) -> np.ndarray:
@@ -106,12 +110,3 @@ def next_block() -> int:
 def spread(df: DataFrame, key: str, parts: int) -> DataFrame:
     """Shuffle by ``key`` into ``parts`` partitions that stay apart (a block is more work than its bytes tell)."""
     return df.repartition(max(1, parts), key)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of jobs whose results have been written: their plans are garbage by now. Python's handles go in the
-    first round, what they held in the next."""
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)

@@ -4,10 +4,12 @@ Words are the tokens, a document is padded with begin marks and ends in an end m
 n-gram that occurs ``cutoffs[n-1]`` times or more in the corpus is stored with its count; counts up to ``K`` have
 Good-Turing discounts. P(w|h) is d(c) c / (C(h)+1) for a stored n-gram and alpha(h) P(w|h') otherwise; the one
 pseudo-count keeps some mass for backoff in every context, and alpha(h) is the mass left over by the
-exact sum over the stored words of h. Unigrams leave their discounted mass to unknown words.
+exact sum over the stored words of h. Unigrams leave their discounted mass to unknown words. With the default cut-offs every n-gram
+is stored.
 
-Three passes of request and reply between blocks of documents and buckets of the hash space (see ``exchange``):
-counts, context sums, evaluation. The counts and backoff weights stay in tables partitioned by kind and bucket.
+Passes of request and reply between blocks of documents and buckets of the hash space (see ``exchange``): counts, context sums,
+evaluation. A context that occurs in one block only is summed there, without asking. The counts and backoff weights stay in tables partitioned
+by kind (model, backoff) in rows of one bucket or block each.
 """
 
 from __future__ import annotations
@@ -22,21 +24,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.base import materialise, materialise_bucketed
-from brindle.llm.exchange import buckets_for, cut, distinct, free_shuffles, merged, next_block, pack, pack_sorted, pack_sparse, spread, unpack, unpack_sorted, unpack_sparse
+from brindle.llm.exchange import buckets_for, cut, distinct, merged, next_block, pack, pack_sorted, pack_values, spread, unpack, unpack_sorted, unpack_values
 from brindle.llm.textvec import Tokens, clean, mix, slabs
 
 K = 5
-CUTOFFS = (1, 2, 2)
+CUTOFFS = (1, 1, 1)
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-BLOCK_CHARS = 10_000_000
+BLOCK_CHARS, PER_BUCKET = 10_000_000, 1_500_000
+MOST_BLOCK_BUCKETS = 50_000  # files of the table of blocks; Spark allows 100,000
 _M = np.uint64(0x9E3779B97F4A7C15)
 BLOCK_SCHEMA = "block long, n_docs long, n_tokens long, doc_ids binary, no_id binary, sizes binary, words binary, tokens binary"
 
 
+def key_bits(grams: float) -> int:
+    """Bits of an n-gram's key: one key in 2**24 meets another's at any size of the corpus."""
+    return min(64, max(40, math.ceil(math.log2(max(2.0, grams))) + 24))
+
+
+def sizes(chars: int) -> tuple[int, int]:
+    """(characters a block, keys a bucket). A block sends a row to each bucket, so both grow with the root of the input from 30 GB of text on, up
+    to ten times, which is what a worker of a few GB can hold."""
+    scale = min(10.0, max(1.0, math.sqrt(chars / 3e10)))
+    return int(BLOCK_CHARS * scale), int(PER_BUCKET * scale)
+
+
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Keys of n-grams have 56 bits: of n distinct ones about n^2 / 2^57 meet another, one in ten thousand at 2 x 10^13."""
     with np.errstate(over="ignore"):
-        return mix(a * _M + b) & ~np.uint64(255)
+        return mix(a * _M + b)
 
 
 def encode_block(number: int, ids: pd.Series, texts: list[str]) -> dict:
@@ -66,7 +80,8 @@ class Grams:
     """The n-grams of a block: for each order the sorted distinct ``keys``, ``place`` of each position's n-gram among them, ``one``
     position of each and ``counts``. Position p predicts ``target[p]``; ``begins`` marks a document's first."""
 
-    def __init__(self, row, order: int):
+    def __init__(self, row, order: int, bits: int):
+        mask = np.uint64((1 << 64) - (1 << (64 - bits)))
         sizes = unpack(row.sizes, np.uint32).astype(np.int64)
         words, tokens = unpack_sorted(row.words), unpack(row.tokens, np.uint32)
         self.sizes = sizes
@@ -78,21 +93,19 @@ class Grams:
         is_end[end] = True
         target[~is_end] = words[tokens]
         target[end] = END
+        target &= mask
         self.doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
         self.begins = np.zeros(total, bool)
         self.begins[end - sizes] = True
-        prev = np.empty(total, np.uint64)
-        prev[1:] = target[:-1]
-        prev[self.begins] = BEGIN
         grams = [target]
-        context = [np.zeros(total, np.uint64)]
+        context = [np.zeros(total, np.uint64)]  # the whole keys of contexts; those of documents' begins keep all their bits
         for _ in range(1, order):
             ctx = np.empty(total, np.uint64)
             # the context of order n at p is the (n-1)-gram that ends at p - 1
             ctx[1:] = grams[-1][:-1]
             ctx[self.begins] = _start(len(context))
             context.append(ctx)
-            grams.append(_pair(ctx, target))
+            grams.append(_pair(ctx, target) & mask)
         self.keys, self.one, self.place, self.counts, self.context = [], [], [], [], context
         for g in grams:
             k, o, p, c = distinct(g)
@@ -119,6 +132,7 @@ class Params:
     discount: np.ndarray
     tokens: float
     docs: float
+    bits: int
 
     def weight(self, n: int, c: np.ndarray) -> np.ndarray:
         """Discounted count, 0 where the n-gram isn't stored."""
@@ -139,11 +153,11 @@ def discounts(counts: np.ndarray, cutoff: int) -> np.ndarray:
     return d
 
 
-def _count_requests(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
+def _count_requests(blocks: DataFrame, order: int, bits: int, buckets: int) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             for row in p.itertuples():
-                g = Grams(row, order)
+                g = Grams(row, order, bits)
                 out = [(b, n, row.block, pack_sorted(g.keys[n][s]), pack(g.counts[n][s].astype(np.uint32))) for n in range(order) for b, s in cut(g.keys[n], buckets)]
                 yield pd.DataFrame(out, columns=["bucket", "n", "block", "keys", "data"])
 
@@ -191,38 +205,86 @@ def _probabilities(g: Grams, reply: list[np.ndarray], m: Params) -> list[tuple]:
     return out
 
 
-def _asked(key: np.ndarray, stored: np.ndarray, own: np.ndarray, could: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n-grams, their distinct contexts, place of each n-gram's context) of the contexts that a block must ask about: those that it
-    backs off from or adds to. ``could`` tells contexts frequent enough to have a stored word; the others' alpha is 1."""
-    some = np.flatnonzero(could)
-    keys, _, place, _ = distinct(key[some])
-    used = np.bincount(place, (own | (stored == 0))[some], minlength=len(keys)) > 0
-    keep = used[place]
-    return some[keep], keys[used], (np.cumsum(used) - 1)[place[keep]]
+class Contexts:
+    """Of order n's n-grams in a block: their stored probability and ownership, their contexts' keys (distinct ones, and the place of each n-gram's
+    among them), and which contexts occur nowhere but in this block."""
+
+    def __init__(self, g: Grams, reply: list[np.ndarray], prob: list[tuple], n: int, m: Params):
+        self.stored, ctx, total = prob[n]
+        self.own = (reply[n] & np.uint64(1)).astype(bool) & (self.stored > 0)
+        self.lower = prob[n - 1][0][g.place[n - 1][g.one[n]]]
+        self.keys, _, self.place, _ = distinct(g.context[n][g.one[n]])
+        here = np.where(ctx < 0, float(len(g.sizes)), g.counts[n - 1][np.maximum(ctx, 0)].astype(np.float64))
+        self.local = self.of_each(here >= total)
+        self.could = self.of_each(total >= m.cutoffs[n])  # frequent enough to have a stored word; the others' alpha is 1
+        self.used = self.of_each(self.own | (self.stored == 0)) & self.could & ~self.local  # asked about: it adds to them or backs off from them
+        self.backs = self.of_each(self.stored == 0)
+
+    def of_each(self, flag: np.ndarray) -> np.ndarray:
+        """Which contexts have an n-gram with ``flag``."""
+        return np.bincount(self.place, flag, minlength=len(self.keys)) > 0
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.bincount(self.place, np.where(self.own, x, 0.0), minlength=len(self.keys)) for x in (self.stored, self.lower))
+
+    def local_alpha(self) -> np.ndarray:
+        """Of the contexts that are only in this block: the exact weights; 1 elsewhere."""
+        mass, lower = self.sums()
+        return np.where(self.local & (mass > 0), _alpha(mass, lower), 1.0)
 
 
-def _context_requests(both: DataFrame, m: Params, buckets: int) -> DataFrame:
-    """Each stored n-gram's owner adds its probability and its lower-order probability to the sums of its context."""
+def _alpha(mass: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    return (1 - mass) / np.maximum(1 - lower, 1e-12)
 
-    def run(_, p: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+
+def _per_block(blocks: DataFrame, replies: DataFrame, m: Params, each, schema: str) -> DataFrame:
+    """``each(row, grams, probabilities, contexts of each order, replies)`` gives rows or a frame for every block."""
+    columns = [x.split()[0] for x in schema.split(", ")]
+
+    def run(_, p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in p.itertuples():
-            g = Grams(row, m.order)
-            reply = _counts(replies, g)
+            mine = r[r["block"] == row.block]
+            counts = mine[mine["kind"] == "reply"]
+            g = Grams(row, m.order, m.bits)
+            reply = _counts(counts, g)
             prob = _probabilities(g, reply, m)
-            for n in range(1, m.order):
-                stored, _, total = prob[n]
-                key = g.context[n][g.one[n]]
-                lower = prob[n - 1][0][g.place[n - 1][g.one[n]]]
-                own = (reply[n] & np.uint64(1)).astype(bool) & (stored > 0)
-                some, keys, place = _asked(key, stored, own, total >= m.cutoffs[n])
-                a = np.bincount(place, np.where(own, stored, 0.0)[some], minlength=len(keys))
-                b = np.bincount(place, np.where(own, lower, 0.0)[some], minlength=len(keys))
-                out += [(bk, n, row.block, pack_sorted(keys[s]), pack_sparse(a[s]), pack_sparse(b[s])) for bk, s in cut(keys, buckets)]
-        return pd.DataFrame(out, columns=["bucket", "n", "block", "keys", "mass", "lower"])
+            got = each(row, g, prob, lambda n: Contexts(g, reply, prob, n, m), mine)  # noqa: B023
+            out.append(got if isinstance(got, pd.DataFrame) else pd.DataFrame(got, columns=columns))
+        return pd.concat(out) if out else pd.DataFrame(columns=columns)
+
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, schema)
+
+
+def _local_backoff(blocks: DataFrame, replies: DataFrame, m: Params) -> DataFrame:
+    """The weights of contexts that occur in one block only, a row for each block and order."""
 
-    blocks, replies = both
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, "bucket long, n int, block long, keys binary, mass binary, lower binary")
+    def each(row, g, prob, contexts, _):
+        out = []
+        for n in range(1, m.order):
+            c = contexts(n)
+            mass, lower = c.sums()
+            some = c.local & (mass > 0)
+            out.append(("backoff", None, n, row.block, pack_sorted(c.keys[some]), pack_values(_alpha(mass[some], lower[some]))))
+        return out
+
+    return _per_block(blocks, replies, m, each, "kind string, bucket long, n int, block long, keys binary, data binary")
+
+
+def _context_requests(blocks: DataFrame, replies: DataFrame, m: Params, buckets: int) -> DataFrame:
+    """Of contexts that other blocks have too: each stored n-gram's owner adds its probability and its lower-order probability to their sums; ``wants``
+    tells which weights the block needs to know."""
+
+    def each(row, g, prob, contexts, _):
+        out = []
+        for n in range(1, m.order):
+            c = contexts(n)
+            u = c.used
+            keys, (mass, lower), wants = c.keys[u], (x[u] for x in c.sums()), c.backs[u]
+            out += [(bk, n, row.block, pack_sorted(keys[s]), pack_values(mass[s]), pack_values(lower[s]), pack(np.packbits(wants[s]))) for bk, s in cut(keys, buckets)]
+        return out
+
+    return _per_block(blocks, replies, m, each, "bucket long, n int, block long, keys binary, mass binary, lower binary, wants binary")
 
 
 def _context_replies(requests: DataFrame) -> DataFrame:
@@ -231,11 +293,14 @@ def _context_replies(requests: DataFrame) -> DataFrame:
         bucket = int(p["bucket"].iloc[0])
         for n, rows in p.groupby("n"):
             keys, _, place, slices = merged([unpack_sorted(x) for x in rows["keys"]])
-            mass, lower = (np.bincount(place, np.concatenate([unpack_sparse(x) for x in rows[k]]), minlength=len(keys)) for k in ("mass", "lower"))
-            alpha = np.where(mass > 0, (1 - mass) / np.maximum(1 - lower, 1e-12), 1.0)
-            out += [("alpha", bucket, n, block, None, pack(alpha[place[s]].astype(np.float32))) for block, s in zip(rows["block"], slices)]
+            mass, lower = (np.bincount(place, np.concatenate([unpack_values(x) for x in rows[k]]), minlength=len(keys)) for k in ("mass", "lower"))
+            alpha = np.where(mass > 0, _alpha(mass, lower), 1.0)
+            for block, s, w in zip(rows["block"], slices, rows["wants"]):
+                wanted = alpha[place[s]][np.unpackbits(unpack(w, np.uint8), count=s.stop - s.start).astype(bool)]
+                if len(wanted):
+                    out.append(("alpha", bucket, n, block, None, pack_values(wanted)))
             some = mass > 0
-            out.append(("backoff", bucket, n, None, pack_sorted(keys[some]), pack(alpha[some])))
+            out.append(("backoff", bucket, n, None, pack_sorted(keys[some]), pack_values(alpha[some])))
         return pd.DataFrame(out, columns=["kind", "bucket", "n", "block", "keys", "data"])
 
     return requests.groupBy("bucket").applyInPandas(run, "kind string, bucket long, n int, block long, keys binary, data binary")
@@ -245,79 +310,81 @@ SCORE_SCHEMA = "doc_id long, n_tokens long, log_prob double, log_prob_per_token
 
 
 def _scores(blocks: DataFrame, replies: DataFrame, m: Params) -> DataFrame:
-    def run(_, p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        counts, alphas = r[r["kind"] == "reply"], r[r["kind"] == "alpha"]
-        for row in p.itertuples():
-            g = Grams(row, m.order)
-            reply = _counts(counts, g)
-            prob = _probabilities(g, reply, m)
-            p_now = prob[0][0][g.place[0]]
-            backs = np.zeros(len(p_now), np.int64)
-            for n in range(1, m.order):
-                stored, _, total = prob[n]
-                own = (reply[n] & np.uint64(1)).astype(bool) & (stored > 0)
-                some, _, place = _asked(g.context[n][g.one[n]], stored, own, total >= m.cutoffs[n])
-                mine = alphas[alphas["n"] == n].sort_values("bucket")
-                alpha = np.concatenate([unpack(x, np.float32) for x in mine["data"]]) if len(mine) else np.empty(0, np.float32)
-                weight = np.ones(len(stored))
-                weight[some] = alpha[place]
-                here = stored[g.place[n]]
-                backs += here == 0
-                p_now = np.where(here > 0, here, weight[g.place[n]] * p_now)
-            size = g.sizes + 1
-            log = np.bincount(g.doc, np.log(p_now), minlength=len(size))
-            ids = pd.array(unpack(row.doc_ids, np.int64), dtype="Int64")
-            ids[unpack(row.no_id, np.uint8).astype(bool)] = pd.NA
-            out.append(pd.DataFrame({"doc_id": ids, "n_tokens": g.sizes, "log_prob": log, "log_prob_per_token": log / size, "perplexity": np.exp(-log / size), "backed_off": np.bincount(g.doc, backs, minlength=len(size)).astype(np.int64)}))
-        return pd.concat(out)
-
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, SCORE_SCHEMA)
+    def each(row, g, prob, contexts, mine):
+        alphas = mine[mine["kind"] == "alpha"]
+        p_now = prob[0][0][g.place[0]]
+        backs = np.zeros(len(p_now), np.int64)
+        for n in range(1, m.order):
+            here = prob[n][0][g.place[n]]
+            down = here == 0
+            if down.any():
+                c = contexts(n)
+                alpha = c.local_alpha()
+                told = alphas[alphas["n"] == n].sort_values("bucket")
+                if len(told):
+                    alpha[np.flatnonzero(c.used & c.backs)] = np.concatenate([unpack_values(x) for x in told["data"]])
+                p_now = np.where(down, alpha[c.place[g.place[n]]] * p_now, here)
+            else:
+                p_now = here
+            backs += down
+        size = g.sizes + 1
+        log = np.bincount(g.doc, np.log(p_now), minlength=len(size))
+        ids = pd.array(unpack(row.doc_ids, np.int64), dtype="Int64")
+        ids[unpack(row.no_id, np.uint8).astype(bool)] = pd.NA
+        return pd.DataFrame({"doc_id": ids, "n_tokens": g.sizes, "log_prob": log, "log_prob_per_token": log / size, "perplexity": np.exp(-log / size), "backed_off": np.bincount(g.doc, backs, minlength=len(size)).astype(np.int64)})
+
+    return _per_block(blocks, replies, m, each, SCORE_SCHEMA)
 
 
 @dataclass
 class Fitted:
     params: Params
-    blocks: DataFrame  # in ``n_blocks`` buckets
-    n_blocks: int
+    blocks: DataFrame  # in ``parts`` buckets by block
+    parts: int
     tables: DataFrame  # kind, bucket, n, block, keys, data
 
     def stored(self, kind: str) -> DataFrame:
         """The model's packed tables: kind ``model`` (counts) or ``backoff`` (alpha)."""
         return self.tables.where(F.col("kind") == kind)
 
+    def replies(self, *kinds: str) -> DataFrame:
+        return spread(self.tables.where(F.col("kind").isin(*kinds)).select("kind", "block", "bucket", "n", "data"), "block", self.parts)
+
+
+def _added(p: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"n": [int(p["n"].iloc[0])], "data": [np.sum([np.frombuffer(x, np.int64) for x in p["data"]], axis=0).tobytes()]})
+
 
-def fit(docs: DataFrame, order: int = 3, cutoffs: tuple = CUTOFFS, block_chars: int = BLOCK_CHARS, per_bucket: int = 1_500_000) -> Fitted:
-    """Count n-grams up to ``order`` over all of ``docs`` and normalise them."""
-    spark = docs.sparkSession
+def fit(docs: DataFrame, order: int = 3, cutoffs: tuple = CUTOFFS, block_chars: int | None = None, per_bucket: int | None = None) -> Fitted:
+    """Count n-grams up to ``order`` over all of ``docs`` and normalise them. The sizes of blocks and buckets change the work only."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = max(1, math.ceil(chars / block_chars))
-    blocks = materialise_bucketed(blocks_of(docs, block_chars), "katz-blocks", "block", n_blocks)
-    free_shuffles(spark)
+    block_chars, per_bucket = block_chars or sizes(chars)[0], per_bucket or sizes(chars)[1]
+    parts = min(MOST_BLOCK_BUCKETS, max(1, math.ceil(chars / block_chars)))
+    blocks = materialise_bucketed(blocks_of(docs, block_chars), "katz-blocks", "block", parts)
     r = blocks.agg(F.sum("n_tokens"), F.sum("n_docs")).first()
     tokens, n_docs = r[0] or 0, r[1] or 0
-    buckets = buckets_for((tokens + n_docs) * order, per_bucket)
-    once = materialise(_count_replies(spread(_count_requests(blocks, order, buckets), "bucket", buckets), cutoffs), "katz-counts", ("kind",))
-    free_shuffles(spark)
+    grams = (tokens + n_docs) * order
+    bits, buckets = key_bits(grams), buckets_for(grams, per_bucket)
+    once = materialise(_count_replies(spread(_count_requests(blocks, order, bits, buckets), "bucket", buckets), cutoffs), "katz-counts", ("kind",))
     table = np.zeros((order, K + 3), np.int64)
-    # merged on the executors to one row an order
-    for x in once.where("kind = 'stats'").groupBy("n").applyInPandas(lambda p: pd.DataFrame({"n": [int(p["n"].iloc[0])], "data": [np.sum([np.frombuffer(x, np.int64) for x in p["data"]], axis=0).tobytes()]}), "n int, data binary").collect():
+    # merged on the executors, first by bucket's remainder, to one row an order
+    stats = once.where("kind = 'stats'").select("n", "data", F.pmod("bucket", F.lit(64)).alias("part"))
+    for x in stats.groupBy("n", "part").applyInPandas(_added, "n int, data binary").groupBy("n").applyInPandas(_added, "n int, data binary").collect():
         table[x["n"]] += np.frombuffer(x["data"], np.int64)
-    m = Params(order, tuple(cutoffs), np.array([discounts(t, c) for t, c in zip(table, cutoffs)]), float(tokens + n_docs), float(n_docs))
-    replies = once.where("kind = 'reply'").select("block", "bucket", "n", "data")
-    ask = _context_requests((blocks, spread(replies, "block", n_blocks)), m, buckets)
+    m = Params(order, tuple(cutoffs), np.array([discounts(t, c) for t, c in zip(table, cutoffs)]), float(tokens + n_docs), float(n_docs), bits)
+    counted = Fitted(m, blocks, parts, once)
+    local = materialise(_local_backoff(blocks, counted.replies("reply"), m), "katz-local", ("kind",))
+    ask = _context_requests(blocks, counted.replies("reply"), m, buckets)
     again = materialise(_context_replies(spread(ask, "bucket", buckets)), "katz-backoff", ("kind",))
-    free_shuffles(spark)
-    return Fitted(m, blocks, n_blocks, once.unionByName(again))
+    return Fitted(m, blocks, parts, once.unionByName(local).unionByName(again))
 
 
 def score(docs: DataFrame, **params) -> DataFrame:
     """One row a document: doc_id, n_tokens, log_prob (natural, with the end mark), log_prob_per_token, perplexity,
     backed_off (steps down to a lower order). A null or empty text is its end mark only; rows with one id are scored
-    each; an empty table gives no rows."""
+    each; an empty table gives no rows. With cut-offs of 1 every n-gram of the corpus itself is stored and nothing backs off."""
     model = fit(docs, **params)
-    replies = model.tables.where(F.col("kind").isin("reply", "alpha")).select("kind", "block", "bucket", "n", "data")
-    return _scores(model.blocks, spread(replies, "block", model.n_blocks), model.params)
+    return _scores(model.blocks, model.replies("reply", "alpha"), model.params)
 
 
 __all__ = ["Fitted", "Grams", "Params", "discounts", "fit", "score"]

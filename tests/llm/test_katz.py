@@ -51,7 +51,7 @@ def test_scores_equal_brute_force(spark, order, cutoffs):
     got = {r["doc_id"]: r for r in katz.score(h.documents(spark, texts), order=order, cutoffs=cutoffs, block_chars=700, per_bucket=300).collect()}
     for i, d in enumerate(b.docs):
         want = sum(math.log(b.p(tuple(d[j - order + 1 : j + 1]))) for j in range(order - 1, len(d)))
-        assert got[i]["log_prob"] == pytest.approx(want, rel=1e-5)
+        assert got[i]["log_prob"] == pytest.approx(want, rel=1e-11)
         assert got[i]["n_tokens"] == len(d) - order
 
 
@@ -66,17 +66,51 @@ def test_registered_query_keeps_what_is_seen_once(spark, tmp_path):
         assert got[i]["backed_off"] == 0  # each trigram of the corpus is in the model
 
 
-def test_contexts_are_normalised():
-    b = Brute(h.mixed(20), 3, (1, 2, 2))
-    words = [g[0] for g in b.c[0]]
-    unknown = 1 - sum(b.p((w,)) for w in words)
-    assert unknown >= 0
-    for ctx in [*list(b.context[1])[:12]]:
-        rest = b.alpha(ctx) * unknown
-        assert sum(b.p((*ctx, w)) for w in words) + rest == pytest.approx(1, abs=1e-9)
-    for ctx in [*list(b.context[2])[:12]]:
-        rest = b.alpha(ctx) * b.alpha(ctx[1:]) * unknown
-        assert sum(b.p((*ctx, w)) for w in words) + rest == pytest.approx(1, abs=1e-9)
+@pytest.mark.parametrize("cutoffs", [(1, 2, 2), (1, 1, 1)])
+def test_the_stored_model_is_exactly_normalised(spark, cutoffs):
+    """Read the counts and weights back from the tables and sum each context over all words and the unknown one."""
+    texts = [*h.mixed(24), "the the the of the the"]
+    m = katz.fit(h.documents(spark, texts), cutoffs=cutoffs, block_chars=700, per_bucket=300)
+    count, alpha = {}, {}
+    for r in m.stored("model").collect():
+        count |= zip(zip([r["n"]] * 10**6, katz.unpack_sorted(r["keys"]).tolist()), katz.unpack(r["data"], np.uint64).tolist())
+    for r in m.stored("backoff").collect():
+        new = dict(zip(zip([r["n"]] * 10**6, katz.unpack_sorted(r["keys"]).tolist()), katz.unpack_values(r["data"]).tolist()))
+        assert not new.keys() & alpha.keys()
+        alpha |= new
+    mask = (1 << 64) - (1 << (64 - m.params.bits))
+    words = sorted({w for t in texts for w in t.split()})
+    of = {w: int(katz.Tokens([w]).hash[0]) & mask for w in words} | {"</s>": int(katz.END) & mask}
+    pair = lambda a, b: int(katz._pair(np.array([a], np.uint64), np.array([b], np.uint64))[0]) & mask
+    d, total, docs = m.params.discount, m.params.tokens, m.params.docs
+    brute = Brute(texts, 3, cutoffs)
+    stored = lambda n, key, c: (d[n][min(v, katz.K + 1) if v <= katz.K else 0] * v) / c if (v := count.get((n, key), 0)) else 0.0
+    uni = {w: stored(0, k, total) for w, k in of.items()}
+    unknown = 1 - sum(uni.values())
+    assert unknown >= -1e-12
+
+    def bigrams(ctx, c):
+        p = {w: stored(1, pair(ctx, k), c + 1) or alpha.get((1, ctx), 1.0) * uni[w] for w, k in of.items()}
+        return p, alpha.get((1, ctx), 1.0) * unknown
+
+    for w in words[:15]:
+        p1, rest1 = bigrams(of[w], brute.c[0][(w,)])
+        assert sum(p1.values()) + rest1 == pytest.approx(1, abs=1e-12)
+        for v in words[:15]:
+            h2 = pair(of[v], of[w])
+            if c2 := brute.c[1][(v, w)]:
+                a2 = alpha.get((2, h2), 1.0)
+                p2 = [stored(2, pair(h2, k), c2 + 1) or a2 * p1[x] for x, k in of.items()]
+                assert sum(p2) + a2 * rest1 == pytest.approx(1, abs=1e-12)
+    start, _ = bigrams(int(katz.BEGIN), docs)
+    assert sum(start.values()) == pytest.approx(1 - alpha[1, int(katz.BEGIN)] * unknown, abs=1e-12)
+
+
+def test_sizes_grow_with_the_root_of_the_input_and_keys_with_its_logarithm():
+    assert katz.sizes(10**9) == (10_000_000, 1_500_000) and katz.sizes(10**14) == (100_000_000, 15_000_000)
+    assert katz.key_bits(2**27) == 51 and katz.key_bits(10**14) == 64
+    blocks, buckets = 10**14 / katz.sizes(10**14)[0], 10**14 / 2 / katz.sizes(10**14)[1]
+    assert blocks * buckets < 10**14 / 10  # rows of the exchange stay below a tenth of the characters
 
 
 def test_spread_does_not_matter(spark):
