@@ -4,8 +4,8 @@ A document's signature has K minima over its distinct word pairs; a (coordinate,
 documents match if they agree in ``least`` coordinates or more. Keys are ordered from rare to frequent over the corpus, and a
 document is posted under a prefix only: with s keys that some other document has too, two matching documents
 must meet in the first s - least + 1 keys of either, so no pair is lost. The dense lists beyond the prefix are
-skipped: for documents that meet in a list, the collisions there are counted from the signatures' fingerprints.
-Documents with the same words in the same order are one entry of the index.
+skipped: for documents that meet in a list, the collisions are counted by merging their signatures' fingerprints, coordinate by coordinate.
+Documents with equal signatures are one entry of the index.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.base import materialise, temp_name
+from brindle.llm.base import bit_filter, discard, in_filter, materialise, temp_name
 from brindle.llm.exchange import buckets_for, cut, distinct, merged, next_block, pack, pack_sorted, spread, unpack, unpack_sorted
 from brindle.llm.textvec import Tokens, clean, mix, shingles, slabs
 
 COORDINATES, SHINGLE, THRESHOLD = 64, 2, 0.6
+HOT = 20_000  # entries that one task may compare with each other
 _rng = np.random.default_rng(20_240_229)
 _XOR = _rng.integers(0, 1 << 63, 512).astype(np.uint64)
 _MUL = (_rng.integers(0, 1 << 63, 512).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -54,95 +55,163 @@ def keys_of(sig: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, k: int, n: int) -> DataFrame:
+    """(row, doc_id, digest of the words, low: its first 8 bytes as a number, key of the signature, sig) of every row; ``row`` is a number of its own once
+    the result has been written. Without words digest and key are null."""
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             sig, marks = signatures(clean(p["text"]), k, n)
-            yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64"), "digest": marks, "sig": [x.tobytes() for x in sig]})
+            sigs = [x.tobytes() if m else None for x, m in zip(sig, marks)]
+            yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64"), "digest": marks, "low": _low(marks), "key": [xxhash.xxh3_128_digest(x) if x else None for x in sigs], "sig": sigs})
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, digest binary, low long, key binary, sig binary").withColumn("row", F.monotonically_increasing_id())
+
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, digest binary, sig binary")
+def _low(marks: list[bytes | None]) -> np.ndarray:
+    return np.array([int.from_bytes(m[:8], "little", signed=True) if m else 0 for m in marks], np.int64)
 
 
-def _entries(rows: DataFrame) -> DataFrame:
-    """One entry a digest, numbered, in blocks."""
+def _pieces(rows: DataFrame) -> DataFrame:
+    """The index: one entry for each distinct signature (equal ones agree everywhere), a few thousand entries packed in a row."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             if len(p):
-                block = next_block()
-                yield p.assign(block=block, entry=(block << 20) + np.arange(len(p)))
+                ids = p["doc_id"].astype("Int64")
+                yield pd.DataFrame([{
+                    "piece": next_block(), "n": len(p), "sigs": b"".join(p["sig"]), "keys": b"".join(p["key"]), "ids": pack(ids.fillna(0).to_numpy(np.int64)),
+                    "no_id": pack(ids.isna().to_numpy(np.uint8)), "rows": pack(p["row"].to_numpy(np.int64)), "copies": pack(p["copies"].to_numpy(np.int64)),
+                }])
+
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    one = rows.where("key is not null").groupBy("key").agg(F.min("sig").alias("sig"), first, F.count("*").alias("copies"))
+    schema = "piece long, n long, sigs binary, keys binary, ids binary, no_id binary, rows binary, copies binary"
+    return one.select("key", "sig", "first.doc_id", "first.row", "copies").mapInPandas(run, schema)
+
+
+def _entries(pieces: DataFrame) -> DataFrame:
+    """(entry, key, doc_id and row of its first document, copies)."""
 
-    one = rows.where("digest is not null").groupBy("digest").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
-    return one.mapInPandas(run, "digest binary, sig binary, least_id long, copies long, block long, entry long")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for r in p.itertuples():
+                ids = pd.array(unpack(r.ids, np.int64), dtype="Int64")
+                ids[unpack(r.no_id, np.uint8).astype(bool)] = pd.NA
+                yield pd.DataFrame({"entry": _numbers(r.piece, r.n), "key": [r.keys[i : i + 16] for i in range(0, len(r.keys), 16)], "doc_id": ids, "row": unpack(r.rows, np.int64), "copies": unpack(r.copies, np.int64)})
+
+    return pieces.drop("sigs").mapInPandas(run, "entry long, key binary, doc_id long, row long, copies long")
 
 
-def _matrix(p: pd.DataFrame, k: int) -> np.ndarray:
-    return np.frombuffer(b"".join(p["sig"]), np.uint32).reshape(len(p), k)
+def _numbers(piece: int, n: int) -> np.ndarray:
+    return (piece << 20) + np.arange(n)
 
 
-def _key_counts(blocks: DataFrame, k: int, buckets: int) -> DataFrame:
-    """How many entries each key of a block has, as replies."""
+def _key_counts(pieces: DataFrame, k: int, buckets: int) -> DataFrame:
+    """How many entries each key of a piece has, as replies."""
 
-    def ask(p: pd.DataFrame) -> pd.DataFrame:
-        keys, _, _, count = distinct(keys_of(_matrix(p, k)).ravel())
-        block = int(p["block"].iloc[0])
-        return pd.DataFrame([(b, block, pack_sorted(keys[s]), pack(count[s].astype(np.uint32))) for b, s in cut(keys, buckets)], columns=["bucket", "block", "keys", "data"])
+    def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for r in p.itertuples():
+                keys, _, _, count = distinct(keys_of(_matrix(r, k)).ravel())
+                yield pd.DataFrame([(b, r.piece, pack_sorted(keys[s]), pack(count[s].astype(np.uint32))) for b, s in cut(keys, buckets)], columns=["bucket", "piece", "keys", "data"])
 
     def reply(p: pd.DataFrame) -> pd.DataFrame:
         keys, _, place, slices = merged([unpack_sorted(x) for x in p["keys"]])
         total = np.bincount(place, np.concatenate([unpack(x, np.uint32) for x in p["data"]]), minlength=len(keys)).astype(np.uint32)
-        return pd.DataFrame({"block": p["block"], "bucket": p["bucket"], "data": [pack(total[place[s]]) for s in slices]})
-
-    asked = blocks.groupBy("block").applyInPandas(ask, "bucket long, block long, keys binary, data binary")
-    return spread(asked, "bucket", buckets).groupBy("bucket").applyInPandas(reply, "block long, bucket long, data binary")
-
-
-def _postings(blocks: DataFrame, counts: DataFrame, k: int, least: int, buckets: int) -> DataFrame:
-    def run(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        cols = ["bucket", "keys", "entries", "prints"]
-        if not len(p):
-            return pd.DataFrame(columns=cols)
-        all_keys = keys_of(_matrix(p, k))
-        uniq, _, place, _ = distinct(all_keys.ravel())
-        r = r.sort_values("bucket")
-        df = np.concatenate([unpack(x, np.uint32) for x in r["data"]])[place].reshape(all_keys.shape)
-        shared = (df > 1).sum(1)
-        have = np.flatnonzero(shared >= least)  # others can't agree with anyone in ``least`` coordinates
-        keys, df, shared = all_keys[have], df[have], shared[have]
-        rank = np.lexsort((keys, np.where(df > 1, df, np.iinfo(np.uint32).max)), axis=1)
-        order = np.argsort(rank, axis=1)  # position of each coordinate's key from rare to frequent
-        row, col = np.nonzero(order < (shared - least + 1)[:, None])
-        key, entry = keys[row, col], p["entry"].to_numpy()[have][row]
-        prints = (keys & np.uint64(0xFFFF)).astype(np.uint16)
-        by = np.argsort(key)
-        key, entry, row = key[by], entry[by], row[by]
-        return pd.DataFrame([(b, pack_sorted(key[s]), pack(entry[s]), prints[row[s]].tobytes()) for b, s in cut(key, buckets)], columns=cols)
-
-    return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(run, "bucket long, keys binary, entries binary, prints binary")
+        return pd.DataFrame({"piece": p["piece"], "bucket": p["bucket"], "data": [pack(total[place[s]]) for s in slices]})
+
+    asked = pieces.select("piece", "n", "sigs").mapInPandas(ask, "bucket long, piece long, keys binary, data binary")
+    return spread(asked, "bucket", buckets).groupBy("bucket").applyInPandas(reply, "piece long, bucket long, data binary")
+
+
+def _matrix(r, k: int) -> np.ndarray:
+    return np.frombuffer(r.sigs, np.uint32).reshape(r.n, k)
+
+
+def _postings(pieces: DataFrame, counts: DataFrame, k: int, least: int, buckets: int, hot: int, parts: int) -> DataFrame:
+    """Postings under the prefix keys, packed by bucket; those of a key that more than ``hot`` entries have in rows of their own, of bucket -1."""
+
+    def run(p: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in p.itertuples():
+            mine = replies.sort_values("bucket")
+            all_keys = keys_of(_matrix(r, k))
+            uniq, _, place, _ = distinct(all_keys.ravel())
+            df = np.concatenate([unpack(x, np.uint32) for x in mine["data"]])[place].reshape(all_keys.shape)
+            shared = (df > 1).sum(1)
+            have = np.flatnonzero(shared >= least)  # others can't agree with anyone in ``least`` coordinates
+            keys, df, shared = all_keys[have], df[have], shared[have]
+            rank = np.lexsort((keys, np.where(df > 1, df, np.iinfo(np.uint32).max)), axis=1)
+            order = np.argsort(rank, axis=1)  # position of each coordinate's key from rare to frequent
+            at, col = np.nonzero(order < (shared - least + 1)[:, None])
+            prints = (keys & np.uint64(0xFFFF)).astype(np.uint16)
+            key, entry, often = keys[at, col], _numbers(r.piece, r.n)[have][at], df[at, col] > hot
+            by = np.argsort(key)
+            key, entry, at, often = key[by], entry[by], at[by], often[by]
+            few = np.flatnonzero(~often)
+            out += [(b, None, pack_sorted(key[few[s]]), pack(entry[few[s]]), prints[at[few[s]]].tobytes()) for b, s in cut(key[few], buckets)]
+            for s in np.split(np.flatnonzero(often), np.flatnonzero(np.diff(key[often])) + 1):
+                if len(s):
+                    out.append((-1, int(key[s[0]].view(np.int64)), None, entry[s].tobytes(), prints[at[s]].tobytes()))
+        return pd.DataFrame(out, columns=["bucket", "key", "keys", "entries", "prints"])
+
+    return spread(pieces.select("piece", "n", "sigs"), "piece", parts).groupBy("piece").cogroup(spread(counts, "piece", parts).groupBy("piece")).applyInPandas(run, "bucket long, key long, keys binary, entries binary, prints binary")
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).sum(-1)
 
 
+def _agreements(prints: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return np.concatenate([_agree(prints[i : i + 20_000], one) for i in range(0, len(prints), 20_000)]) if len(prints) else np.empty(0, np.int64)
+
+
 def _list_edges(entry: np.ndarray, prints: np.ndarray, least: int, every: bool) -> list[np.ndarray]:
     """Edges (a, b, collisions) within one posting list. Not ``every``: enough matching pairs to connect all that matching pairs
-    connect; documents found once are compared with those not found yet only."""
-    out = []
-    left = np.arange(len(entry))
-    while len(left):
-        front, left = [left[0]], left[1:]
-        while front and len(left):
-            x = front.pop()
-            n = np.concatenate([_agree(prints[left[i : i + 20_000]], prints[x]) for i in range(0, len(left), 20_000)])
-            hit = n >= least
+    connect. Disagreements obey the triangle inequality: sorted by those with a pivot, a document is compared only with documents whose number is
+    within the limit of its own, and documents found once with those not found yet."""
+    limit = prints.shape[1] - least
+    out, left = [], np.arange(len(entry))
+
+    def meet(x: int, others: np.ndarray) -> np.ndarray:
+        n = _agreements(prints[others], prints[x])
+        hit = n >= least
+        if hit.any():
+            out.append(np.column_stack((np.full(int(hit.sum()), entry[x]), entry[others[hit]], n[hit])))
+        return hit
+
+    while len(left) > 1:
+        far = prints.shape[1] - _agreements(prints[left], prints[left[0]])
+        by = np.argsort(far, kind="stable")
+        left, far = left[by], far[by]
+        if every:
+            for i in range(len(left) - 1):
+                meet(left[i], left[i + 1 : np.searchsorted(far, far[i] + limit, "right")])
+            break
+        near = int(np.searchsorted(far, limit, "right"))
+        meet(left[0], left[1:near])
+        rest, rest_far = left[near:], far[near:]
+        front = [(x, d) for x, d in zip(left[1:near].tolist(), far[1:near].tolist()) if len(rest) and d >= rest_far[0] - limit]
+        while front and len(rest):
+            x, d = front.pop()
+            a, b = np.searchsorted(rest_far, d - limit), np.searchsorted(rest_far, d + limit, "right")
+            hit = meet(x, rest[a:b])
             if hit.any():
-                out.append(np.column_stack((np.full(int(hit.sum()), entry[x]), entry[left[hit]], n[hit])))
-            if not every:
-                front += left[hit].tolist()
-                left = left[~hit]
+                front += zip(rest[a:b][hit].tolist(), rest_far[a:b][hit].tolist())
+                stay = np.ones(len(rest), bool)
+                stay[a:b] = ~hit
+                rest, rest_far = rest[stay], rest_far[stay]
+        left = rest
     return out
 
 
+EDGE_SCHEMA = "a long, b long, collisions long"
+
+
+def _edge_frame(found: list[np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame(np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64), columns=["a", "b", "collisions"])
+
+
 def _edges(postings: DataFrame, k: int, least: int, buckets: int, every: bool) -> DataFrame:
     def run(p: pd.DataFrame) -> pd.DataFrame:
         key = np.concatenate([unpack_sorted(x) for x in p["keys"]])
@@ -156,105 +225,166 @@ def _edges(postings: DataFrame, k: int, least: int, buckets: int, every: bool) -
         same = np.concatenate([_agree(prints[i : i + 50_000], prints[first[i : i + 50_000]]) for i in range(0, len(key), 50_000)])
         hit = (same >= least) & (np.arange(len(key)) != first)
         found = [np.column_stack((entry[first[hit]], entry[hit], same[hit]))]
-        # everyone has met the first of the list; where someone doesn't match it, the list is gone through member by member
+        # everyone has met the first of the list; where someone doesn't match it, the list is gone through
         others = size - 1 - np.bincount(group[hit], minlength=len(begin))
         for g in np.flatnonzero((size > 2) & ((others > 0) | every)):
             s = slice(begin[g], begin[g] + size[g])
             found += _list_edges(entry[s], prints[s], least, every)
-        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b", "collisions"])
+        return _edge_frame(found)
+
+    return spread(postings.where("bucket >= 0").select("bucket", "keys", "entries", "prints"), "bucket", buckets).groupBy("bucket").applyInPandas(run, EDGE_SCHEMA)
+
 
-    return spread(postings, "bucket", buckets).groupBy("bucket").applyInPandas(run, "a long, b long, collisions long")
+def _hot_edges(postings: DataFrame, k: int, least: int, hot: int, every: bool, rounds: int = 3) -> list[DataFrame]:
+    """Edges of the lists too long for one task, which stay in pieces of a few thousand. In each round a list's first entry is its pivot and meets every
+    piece: what matches it is connected, and leaves the list unless a document that doesn't match the pivot may still match it (their numbers of
+    disagreements with the pivot differ by no more than the limit). What is left of a list after the rounds is cut in chunks, and each pair of
+    chunks is one task, so no task holds more than ``hot`` entries and no pair of entries is left out."""
+    limit, out = k - least, []
+    lists = postings.where("bucket < 0").select("key", "entries", "prints")
+    if lists.isEmpty():
+        return []
+
+    def measured(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            far = [k - _agreements(np.frombuffer(x, np.uint16).reshape(-1, k), np.frombuffer(y, np.uint16)) for x, y in zip(p["prints"], p["pivot_print"])]
+            yield p.drop(columns="pivot_print").assign(far=[x.astype(np.uint8).tobytes() for x in far], least_far=[int(x[x > limit].min()) if (x > limit).any() else k + 1 for x in far])
+
+    def connected(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for r in p.itertuples():
+                entry, far = np.frombuffer(r.entries, np.int64), np.frombuffer(r.far, np.uint8).astype(np.int64)
+                hit = (far <= limit) & (entry != r.pivot)
+                yield pd.DataFrame({"a": np.full(int(hit.sum()), r.pivot), "b": entry[hit], "collisions": k - far[hit]})
+
+    def remaining(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for r in p.itertuples():
+                far = np.frombuffer(r.far, np.uint8).astype(np.int64)
+                stay = (far > limit) | (far >= r.nearest - limit)
+                if r.nearest <= k and stay.any():
+                    yield pd.DataFrame([(r.key, np.frombuffer(r.entries, np.int64)[stay].tobytes(), np.frombuffer(r.prints, np.uint16).reshape(-1, k)[stay].tobytes())], columns=["key", "entries", "prints"])
+
+    for _ in range(0 if every else rounds):
+        head = F.struct(F.substring("entries", 1, 8).alias("e"), F.substring("prints", 1, 2 * k).alias("p"))
+        pivots = lists.groupBy("key").agg(F.min(head).alias("x")).select(F.col("key").alias("_k"), F.col("x.p").alias("pivot_print"), F.col("x.e").alias("pivot_bytes"))
+        near = lists.join(pivots, F.col("key") == F.col("_k")).drop("_k")
+        far = materialise(near.mapInPandas(measured, "key long, entries binary, prints binary, pivot_bytes binary, far binary, least_far int"), "minhash-hot")
+        out.append(far.select("entries", "far", "pivot_bytes").mapInPandas(lambda parts: connected(p.assign(pivot=[int.from_bytes(x, "little") for x in p["pivot_bytes"]]) for p in parts), EDGE_SCHEMA))
+        nearest = far.groupBy("key").agg(F.min("least_far").alias("nearest")).withColumnRenamed("key", "_k")
+        lists = materialise(far.select("key", "entries", "prints", "far").join(nearest, F.col("key") == F.col("_k")).mapInPandas(remaining, "key long, entries binary, prints binary"), "minhash-left")
+        if lists.isEmpty():
+            return out
+
+    # chunks of half of ``hot``; a piece is in one chunk and meets its own and every other chunk of the list
+    sized = lists.withColumn("n", (F.length("entries") / 8).cast("long"))
+    chunks = sized.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(2 * F.sum("n") / F.lit(hot))).cast("int").alias("chunks")).withColumnRenamed("key", "_k")
+    own = sized.join(chunks, F.col("key") == F.col("_k")).withColumn("c", F.pmod(F.xxhash64("entries"), F.col("chunks")).cast("int"))
+    pairs_of = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "entries", "prints")
+
+    def compared(p: pd.DataFrame) -> pd.DataFrame:
+        entry = np.frombuffer(b"".join(p["entries"]), np.int64)
+        return _edge_frame(_list_edges(entry, np.frombuffer(b"".join(p["prints"]), np.uint16).reshape(-1, k), least, every))
+
+    return [*out, pairs_of.groupBy("key", "i", "j").applyInPandas(compared, EDGE_SCHEMA)]
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge, root the smallest node it is connected with: large and small stars
     in turn, each round written, until nothing changes."""
     e = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "stars")
-    state = None
+    e0, state = e, None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         e = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = e.groupBy("a").agg(F.min("b").alias("m"))
         e = e.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
-        e = materialise(e, "stars")
+        before, e = e0, materialise(e, "stars")
+        discard(before)
+        e0 = e
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         state = now
 
 
-def matching(docs: DataFrame, coordinates: int = COORDINATES, shingle: int = SHINGLE, threshold: float = THRESHOLD, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def matching(docs: DataFrame, coordinates: int = COORDINATES, shingle: int = SHINGLE, threshold: float = THRESHOLD, every: bool = False, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(document rows, index entries, matching pairs of entries); ``every`` asks for all pairs, not only a connecting set."""
     least = math.ceil(coordinates * threshold)
     rows = materialise(signed(docs, coordinates, shingle), "minhash-signatures")
-    entries = materialise(_entries(rows), "minhash-entries")
-    n = entries.count()
-    blocks = entries.select("block", "entry", "sig")
-    counts = materialise(_key_counts(blocks, coordinates, buckets_for(n * coordinates)), "minhash-counts")
+    pieces = materialise(_pieces(rows), "minhash-pieces")
+    n, parts = pieces.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    counts = _key_counts(pieces, coordinates, buckets_for(n * coordinates))
     buckets = buckets_for(n * (coordinates - least + 1), 400_000)
-    edges = materialise(_edges(_postings(blocks, counts, coordinates, least, buckets), coordinates, least, buckets, every), "minhash-edges")
-    return rows, entries, edges
+    postings = materialise(_postings(pieces, counts, coordinates, least, buckets, hot, parts), "minhash-postings")
+    edges = _edges(postings, coordinates, least, buckets, every)
+    for more in _hot_edges(postings, coordinates, least, hot, every):
+        edges = edges.unionByName(more)
+    edges = materialise(edges, "minhash-edges")
+    discard(postings)
+    return rows, _entries(pieces), edges
 
 
 def pairs(docs: DataFrame, **params) -> DataFrame:
-    """All matching pairs of distinct word sequences: doc_a < doc_b (each the smallest id of its copies) and collisions."""
+    """All matching pairs of distinct signatures: doc_a < doc_b (each the smallest id of those that have the signature) and collisions."""
     _, entries, edges = matching(docs, every=True, **params)
-    name = entries.select("entry", "least_id")
-    e = edges.distinct().join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b")
-    return e.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "collisions").distinct()
+    name = entries.select("entry", "doc_id")
+    both = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "collisions").distinct()
+    e = both.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b")
+    return e.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "collisions")
 
 
-def _grouped(rows: DataFrame, entries: DataFrame, edges: DataFrame) -> DataFrame:
-    """(digest, group_id, group_size, of every digest; the digest and id that stay, winner)."""
+def _grouped(entries: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, group_id, group_size, stays: the row that stays) of every entry."""
     roots = components(edges)
-    e = entries.join(roots, entries["entry"] == roots["node"], "left").select("digest", "least_id", "copies", F.coalesce("root", "entry").alias("root"))
-    total = e.groupBy("root").agg(F.min("least_id").alias("group_id"), F.sum("copies").alias("group_size"), F.min(F.struct(F.col("least_id").isNull().alias("no_id"), "least_id", "digest")).alias("win"))
-    return e.join(total, "root").select("digest", "group_id", "group_size", (F.col("win.digest") == F.col("digest")).alias("winner"))
+    e = entries.join(roots, entries["entry"] == roots["node"], "left").select("key", "doc_id", "row", "copies", F.coalesce("root", "entry").alias("root"))
+    total = e.groupBy("root").agg(F.sum("copies").alias("group_size"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
+    return e.select("key", "root").join(total, "root").select("key", F.col("first.doc_id").alias("group_id"), "group_size", F.col("first.row").alias("stays"))
 
 
 def near_groups(docs: DataFrame, **params) -> DataFrame:
     """One row a document: doc_id, group_id (smallest id of its group), group_size (rows), keep (it is the row that stays).
 
-    Groups are what matching pairs connect. A null, empty or wordless text is a group of its own with group_id its own
-    id and stays. Rows with one id are rows of the group each and one of them stays; null ids yield to others, and a
-    group without ids has a null group_id. An empty table gives no rows."""
+    Groups are what matching pairs connect; pairs within a group aren't counted, which would be quadratic in a group of many texts. A null, empty or
+    wordless text is a group of its own with group_id its own id and stays. Rows with one id are rows of the group each and one of them
+    stays; null ids yield to others, and a group without ids has a null group_id. An empty table gives no rows."""
     rows, entries, edges = matching(docs, **params)
-    groups = materialise(_grouped(rows, entries, edges), "minhash-groups")
-    ids = rows.select("doc_id", "digest")
-    lone = ids.where("digest is null").select("doc_id", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("keep"))
-    full = ids.where("digest is not null").join(groups, "digest")
-    might = F.col("winner") & F.col("doc_id").eqNullSafe(F.col("group_id"))
-    n = full.where(might).groupBy("group_id", "digest").count().where("count > 1").select(F.col("group_id").alias("_g"), F.col("digest").alias("_d"), F.col("count").alias("_n"))
-    shown = full.select("doc_id", "group_id", "group_size", "digest", might.alias("keep"))
-    # rows that repeat id and words: one of them stays
-    tied = shown.where("keep").join(n, F.col("group_id").eqNullSafe(F.col("_g")) & (F.col("digest") == F.col("_d")), "left")
-    one = tied.groupBy("doc_id", "group_id", "group_size", "digest", "_n").agg(F.count("*").alias("rows"))
-    kept = one.select("doc_id", "group_id", "group_size", F.explode(F.transform(F.sequence(F.lit(1), F.col("rows").cast("int")), lambda i: i == 1)).alias("keep"))
-    return lone.unionByName(shown.where("not keep").select("doc_id", "group_id", "group_size", "keep")).unionByName(kept)
+    groups = _grouped(entries, edges)
+    ids = rows.select("doc_id", "key", "row")
+    lone = ids.where("key is null").select("doc_id", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("keep"))
+    return lone.unionByName(ids.where("key is not null").join(groups, "key").select("doc_id", "group_id", "group_size", (F.col("row") == F.col("stays")).alias("keep")))
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """Pipeline form: the documents that stay, with all their columns."""
+    """Pipeline form: the documents that stay, with all their columns. Only texts of groups of several rows, found by a fixed-size filter of
+    their digests, go through a join; the others stay as they are read."""
     rows, entries, edges = matching(docs, **params)
-    groups = _grouped(rows, entries, edges).where("winner").select("digest", "group_id")
-    copies = rows.join(groups, "digest").where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("digest", "group_id").agg(F.count("*").alias("n"))
-    stay = materialise(copies, "minhash-stay")
+    groups = _grouped(entries, edges).where("group_size > 1")
+    member = rows.where("key is not null").select("key", "digest", "low", "row").join(groups, "key")
+    # of a digest's rows at most one stays: the one of that id, whichever of its repeats
+    many = materialise(member.groupBy("digest").agg(F.min("low").alias("low"), F.max("group_id").alias("group_id"), F.max(F.col("row") == F.col("stays")).alias("stays")), "minhash-many")
+    on = bit_filter(many.select("low"))
+    if on is None:
+        return docs
+    held = docs.sparkSession.sparkContext.broadcast(on)
 
     @F.pandas_udf("binary")
     def digest_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        """The digest of a text whose group may have several rows, null for others."""
         for t in texts:
             out = []
             t = clean(t)
             for a, b in slabs(t):
                 tok = Tokens(t[a:b])
                 out += [xxhash.xxh3_128_digest(tok.hash[i:j].tobytes()) if j > i else None for i, j in zip(tok.first[:-1], tok.first[1:])]
-            yield pd.Series(out, dtype=object)
+            may = in_filter(held.value, _low(out))
+            yield pd.Series([x if x and m else None for x, m in zip(out, may)], dtype=object)
 
-    mark, same, group, n = (temp_name(docs, c) for c in ("_digest", "_same", "_group", "_n"))
-    known = stay.select(F.col("digest").alias(same), F.col("group_id").alias(group), F.col("n").alias(n))
+    mark, same, group, stays = (temp_name(docs, c) for c in ("_digest", "_same", "_group", "_stays"))
     marked = docs.withColumn(mark, digest_of("text"))
-    joined = marked.join(known, F.col(mark) == F.col(same), "left").where(F.col(mark).isNull() | F.col(n).isNotNull() & F.col("doc_id").eqNullSafe(F.col(group)))
-    often = F.coalesce(F.col(n) > 1, F.lit(False))
-    single, repeated = joined.where(~often), joined.where(often).dropDuplicates([mark, "doc_id"])
-    return single.unionByName(repeated).select(*docs.columns)
+    alone = marked.where(F.col(mark).isNull()).select(*docs.columns)
+    some = marked.where(F.col(mark).isNotNull()).join(many.select(F.col("digest").alias(same), F.col("group_id").alias(group), F.col("stays").alias(stays)), F.col(mark) == F.col(same), "left")
+    single = some.where(F.col(same).isNull()).select(*docs.columns)
+    kept = some.where(F.col(stays) & F.col("doc_id").eqNullSafe(F.col(group))).dropDuplicates([mark]).select(*docs.columns)
+    return alone.unionByName(single).unionByName(kept)

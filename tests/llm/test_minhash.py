@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from brindle.llm import minhash
 from tests.llm import helpers as h
@@ -24,13 +25,14 @@ def corpus():
     return texts
 
 
-def test_pairs_equal_brute_force_on_signatures(spark):
+@pytest.mark.parametrize("hot", [minhash.HOT, 2])
+def test_pairs_equal_brute_force_on_signatures(spark, hot):
     texts = corpus()
-    sig, marks = minhash.signatures(texts, 64, 2)
+    sig, _ = minhash.signatures(texts, 64, 2)
     prints = (minhash.keys_of(sig) & np.uint64(0xFFFF)).astype(np.uint16)
     first = {}
-    for i, m in enumerate(marks):
-        first.setdefault(m, i)
+    for i, x in enumerate(sig):
+        first.setdefault(x.tobytes(), i)
     want = {}
     ids = sorted(first.values())
     for i, a in enumerate(ids):
@@ -38,10 +40,39 @@ def test_pairs_equal_brute_force_on_signatures(spark):
             n = int((prints[a] == prints[b]).sum())
             if n >= 39:
                 want[(a, b)] = n
-    got = {(r["doc_a"], r["doc_b"]): r["collisions"] for r in minhash.pairs(h.documents(spark, texts)).collect()}
+    got = {(r["doc_a"], r["doc_b"]): r["collisions"] for r in minhash.pairs(h.documents(spark, texts), hot=hot).collect()}
     assert got == want and len(want) > 50
 
 
+@pytest.mark.parametrize("hot", [minhash.HOT, 2])
+def test_groups_are_the_components_of_all_pairs(spark, hot):
+    """Near copies of near copies included; with ``hot`` 2 nearly every list goes through pivots and pairs of chunks."""
+    rng = random.Random(15)
+    vocab = ["w%d" % i for i in range(300)]
+    texts = []
+    for _ in range(6):
+        t = " ".join(rng.choice(vocab) for _ in range(80))
+        for _ in range(14):  # a chain: its ends don't match each other
+            texts += [t, near(t, rng, 0.03)]
+            t = near(t, rng, 0.05)
+    sig, _ = minhash.signatures(texts, 64, 2)
+    prints = (minhash.keys_of(sig) & np.uint64(0xFFFF)).astype(np.uint16)
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in np.flatnonzero((prints[i + 1 :] == prints[i]).sum(1) >= 39) + i + 1:
+            a, b = sorted((find(i), find(int(j))))
+            root[b] = a
+    got = {r["doc_id"]: r["group_id"] for r in minhash.near_groups(h.documents(spark, texts), hot=hot).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert sorted(r["doc_id"] for r in minhash.keep_one(h.documents(spark, texts), hot=hot).collect()) == sorted({find(i) for i in range(len(texts))})
+
+
 def test_recall_against_true_similarity(spark):
     texts = corpus()
     sets = [set(zip(t.lower().split(), t.lower().split()[1:])) for t in texts]
