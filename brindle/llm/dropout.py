@@ -1,9 +1,9 @@
 """Operator 3, SentencePiece encoding with seeded merge-dropout, and decoding.
 
 A word (the space marks before it included) starts as its characters; of the candidate merges, pairs of neighbours whose
-concatenation is a piece, the one of best score, the leftmost of equals, is taken up next. A keyed hash of (seed, word,
-variant, bounds of the pair) decides whether it is merged or skipped for good, so the result doesn't depend on the order of work.
-``variants`` segmentations of a word are in use; a keyed hash of the document and the place in it picks one.
+concatenation is a piece, the one of best score, the leftmost of equals, is taken up next. A keyed hash of (seed, document, place of
+the word in it, bounds of the pair) decides whether it is merged or skipped for good, so each occurrence of a word draws for itself and
+the result doesn't depend on the order of work.
 Characters that aren't pieces end as their bytes, so decoding gives the text back, whatever was skipped.
 """
 
@@ -15,14 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 
-from brindle.llm.base import TOKENIZERS, ids_of, np_mix_ids
+from brindle.llm.base import TOKENIZERS, local_vocabulary, row_keys, vocabulary_file
 from brindle.llm.textvec import clean, mix, slabs
 
-MODEL, DROPOUT, VARIANTS, SEED = "piece_bpe_32k.model", 0.1, 8, 17
-LONG = 48  # characters; a longer word is merged by itself with a heap
+MODEL, DROPOUT, SEED = "piece_bpe_32k.model", 0.1, 17
+LONG = 48  # characters; a longer word is merged by itself with a heap, to the same result
+TOGETHER = 200_000  # words that go forward together
 _UNIT = re.compile(" +[^ ]*")
 _NONE = np.int32(2**31 - 1)
 _LATIN = 592  # code points whose pairs have a dense table
@@ -125,12 +125,6 @@ def _skips(key: np.ndarray, a: np.ndarray, mid: np.ndarray, b: np.ndarray, drop:
         return (mix(key ^ mix(where + np.uint64(1))) >> np.uint64(11)).astype(np.float64) < drop * float(1 << 53)
 
 
-def word_keys(words: list[str], variant: np.ndarray, seed: int) -> np.ndarray:
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in words), np.uint64, len(words))
-    with np.errstate(over="ignore"):
-        return mix(h + variant.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
 def encode_long(c: Codec, word: str, key: int, drop: float) -> np.ndarray:
     """One word by an agenda: a heap of candidate merges and linked neighbours."""
     code = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -236,8 +230,8 @@ def _together(c: Codec, words: list[str], unit: np.ndarray, n: np.ndarray, keys:
             agenda[i], into[i] = offers(i)
 
 
-def encode(c: Codec, texts: list[str], ids: np.ndarray, drop: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """(token ids, tokens of each text)."""
+def encode(c: Codec, texts: list[str], rows: np.ndarray, drop: float = DROPOUT) -> tuple[np.ndarray, np.ndarray]:
+    """(token ids, tokens of each text); ``rows`` has a 64-bit key of each text, from which its words' keys are made."""
     units, sizes = [], []
     for t in texts:
         u = _UNIT.findall(" " + t) if t else []
@@ -246,46 +240,47 @@ def encode(c: Codec, texts: list[str], ids: np.ndarray, drop: float = DROPOUT, v
     if not units:
         return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
     sizes = np.array(sizes)
-    code, words = pd.factorize(np.array(units, object))
     doc = np.repeat(np.arange(len(texts)), sizes)
-    place = np.arange(len(units)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    with np.errstate(over="ignore"):
-        pick = mix(np_mix_ids(ids, seed)[doc] + place.astype(np.uint64)) % np.uint64(variants) if drop else np.zeros(len(units), np.uint64)
-    both, back = np.unique(code * variants + pick.astype(np.int64), return_inverse=True)
-    names = [words[i] for i in (both // variants).tolist()]
-    flat, n = encode_words(c, names, word_keys(names, both % variants, seed), drop)
-    begin = np.cumsum(n) - n
-    m = n[back]
-    out = flat[np.repeat(begin[back] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
+    if drop:
+        place = np.arange(len(units)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        with np.errstate(over="ignore"):
+            keys = mix(rows[doc] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        parts = [encode_words(c, units[i : i + TOGETHER], keys[i : i + TOGETHER], drop) for i in range(0, len(units), TOGETHER)]
+        out, m = (np.concatenate(x) for x in zip(*parts))
+    else:  # every occurrence of a word is segmented alike
+        back, words = pd.factorize(np.array(units, object))
+        flat, n = encode_words(c, words.tolist(), np.zeros(len(words), np.uint64), 0.0)
+        m = n[back]
+        out = flat[np.repeat((np.cumsum(n) - n)[back] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
     return out, np.bincount(doc, m, minlength=len(texts)).astype(np.int64)
 
 
-def encode_documents(docs: DataFrame, model_path: str | None = None, drop: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str | None = None, drop: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """One row a document: doc_id, n_tokens, ids, lossless (decoding the ids gave the text).
 
-    A null or empty text has no ids and is lossless. Rows with one id and text are encoded alike. An empty table
-    gives no rows."""
-    path = model_path or f"{TOKENIZERS}/{MODEL}"
+    A null or empty text has no ids and is lossless. Draws are keyed by the id, or by the text where there is none, so rows with one id and
+    text are encoded alike. An empty table gives no rows."""
+    name = vocabulary_file(docs.sparkSession, model_path or f"{TOKENIZERS}/{MODEL}")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(path)
+        c = codec(local_vocabulary(name))
         for p in parts:
-            texts, number = clean(p["text"]), ids_of(p["doc_id"])
-            for a, b in slabs(texts, 8_000_000):
-                ids, size = encode(c, texts[a:b], number[a:b], drop, variants, seed)
+            texts, number = clean(p["text"]), p["doc_id"].astype("Int64")
+            for a, b in slabs(texts, 4_000_000):
+                ids, size = encode(c, texts[a:b], row_keys(number.iloc[a:b].reset_index(drop=True), texts[a:b], seed), drop)
                 back = c.decode(ids, size)
                 edge = np.cumsum(size)
-                yield pd.DataFrame({"doc_id": p["doc_id"].iloc[a:b].astype("Int64").to_numpy(object, na_value=None), "n_tokens": size, "ids": np.split(ids, edge[:-1]), "lossless": [x == t.encode("utf-8", "surrogatepass") for x, t in zip(back, texts[a:b])]})
+                yield pd.DataFrame({"doc_id": number.iloc[a:b].to_numpy(object, na_value=None), "n_tokens": size, "ids": np.split(ids, edge[:-1]), "lossless": [x == t.encode("utf-8", "surrogatepass") for x, t in zip(back, texts[a:b])]})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids array<int>, lossless boolean")
 
 
 def decode_documents(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     """(doc_id, text) of rows of doc_id and ids; null ids count as none."""
-    path = model_path or f"{TOKENIZERS}/{MODEL}"
+    name = vocabulary_file(encoded.sparkSession, model_path or f"{TOKENIZERS}/{MODEL}")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(path)
+        c = codec(local_vocabulary(name))
         for p in parts:
             ids = [np.asarray(x, np.int32) if x is not None else np.empty(0, np.int32) for x in p["ids"]]
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
