@@ -8,7 +8,7 @@ from brindle.llm.base import table
 def op1_katz_scores(spark, sf_dir):
     from brindle.llm import katz
 
-    return katz.score(table(spark, sf_dir, "documents"), cutoffs=(1, 1, 1))
+    return katz.score(table(spark, sf_dir, "documents"))
 
 
 def op2_licence_scan(spark, sf_dir):
@@ -68,9 +68,9 @@ def op10_minhash_groups(spark, sf_dir):
 _SQL = {
     # DuckDB has NFC but no compatibility form or full case folding; on texts without such characters they agree
     "op4_exact_digest": """
-        WITH c AS (SELECT doc_id, trim(regexp_replace(nfc_normalize(lower(coalesce(text, ''))), '\\s+', ' ', 'g')) AS canon FROM documents),
-             g AS (SELECT canon, min(doc_id) AS group_id, count(*) AS copies FROM c GROUP BY canon)
-        SELECT c.doc_id, g.group_id, g.copies, coalesce(c.doc_id = g.group_id, false) AS keep FROM c JOIN g ON c.canon = g.canon""",
+        WITH c AS (SELECT doc_id, trim(regexp_replace(nfc_normalize(lower(coalesce(text, ''))), '\\s+', ' ', 'g')) AS canon FROM documents)
+        SELECT doc_id, min(doc_id) OVER w AS group_id, count(*) OVER w AS copies, row_number() OVER (PARTITION BY canon ORDER BY doc_id NULLS LAST) = 1 AS keep
+        FROM c WINDOW w AS (PARTITION BY canon)""",
 }
 
 
