@@ -22,7 +22,7 @@ from brindle.llm.textvec import Tokens, clean, mix, slabs
 
 BITS = 15
 UND = "und"
-LEAST_WORDS = 5
+LANGUAGES = 200
 
 
 def trigrams(tok: Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -45,28 +45,30 @@ class Model:
     languages: list[str]  # the last is UND
     logp: np.ndarray  # languages x buckets
 
-    def mixture(self, texts: list[str], penalty: float, least: float, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
-        """(proportions, words): a row of proportions for each text, 0 for languages outside the chosen set."""
+    def mixture(self, texts: list[str], penalty: float, least: float = 0.0, rounds: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(proportions, words, against): a row of proportions for each text, 0 for languages outside the chosen set; how much the penalised log
+        likelihood of the chosen set exceeds that of each language alone."""
         k = len(self.languages)
-        out, words = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64)
+        out, words, against = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64), np.zeros((len(texts), k))
         for a, b in slabs(texts):
             tok = Tokens(texts[a:b])
             words[a:b] = tok.counts()
             if len(tok.hash):
-                out[a:b] = self._slab(tok, penalty, least, rounds)
-        return out, words
+                out[a:b], against[a:b] = self._slab(tok, penalty, least, rounds)
+        return out, words, against
 
-    def _slab(self, tok: Tokens, penalty: float, least: float, rounds: int) -> np.ndarray:
+    def _slab(self, tok: Tokens, penalty: float, least: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
         k, t = len(self.languages), len(tok.hash)
         g, _ = trigrams(tok)
         begin = np.cumsum(tok.end - tok.start) - (tok.end - tok.start)
         like = np.empty((k, t), np.float64)
         for i in range(k):
             like[i] = np.add.reduceat(self.logp[i][g], begin)
-        top = like.max(0)
-        like = np.exp(like - top)
+        like -= like.max(0)
         have = np.flatnonzero(tok.counts())
         n = tok.counts()[have]
+        alone = np.add.reduceat(like, tok.first[:-1][have], axis=1)
+        like = np.exp(like)
         first, row = tok.first[:-1][have], np.repeat(np.arange(len(have)), n)
 
         def em(share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,20 +93,20 @@ class Model:
             best_score, best = np.where(better, score, best_score), np.where(better, share, best)
             if m > 1 and not (np.take_along_axis(full, order[m : m + 1], 0) >= least / 2).any():
                 break
-        res = np.zeros((len(tok.first) - 1, k))
-        res[have] = best.T
-        return res
+        res, against = np.zeros((len(tok.first) - 1, k)), np.zeros((len(tok.first) - 1, k))
+        res[have], against[have] = best.T, (best_score - alone).T
+        return res, against
 
 
-def fit(docs: DataFrame, per_language: int = 1000, seed: int = 11) -> Model:
-    """Train on about ``per_language`` labelled documents of each language (a hash sample of rows whose ``lang`` is
-    not null; the bound keeps the fit equally large at any size of the input)."""
-    counts = {r["lang"]: r["count"] for r in docs.where("lang is not null").groupBy("lang").count().collect()}
+def fit(docs: DataFrame, per_language: int = 1000, languages: int = LANGUAGES, seed: int = 11) -> Model:
+    """Train on about ``per_language`` labelled documents of each of the ``languages`` most frequent labels (a hash sample of rows whose ``lang`` is
+    not null, by id and text; the two bounds keep the fit equally large at any size of the input)."""
+    counts = {r["lang"]: r["count"] for r in docs.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     langs = sorted(counts)
     if not langs:
         return Model([UND], np.full((1, 1 << BITS), -BITS * np.log(2.0)))
     rate = F.create_map(*[x for c in langs for x in (F.lit(c), F.lit(min(1.0, per_language / counts[c])))])
-    sample = docs.where("lang is not null").select("lang", "text", "doc_id").where(hash_fraction(F.col("doc_id"), seed) < rate[F.col("lang")])
+    sample = docs.where(F.col("lang").isin(langs)).select("lang", "text").where(hash_fraction(F.xxhash64("doc_id", "text"), seed) < rate[F.col("lang")])
     place = {c: i for i, c in enumerate(langs)}
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,11 +130,12 @@ def fit(docs: DataFrame, per_language: int = 1000, seed: int = 11) -> Model:
 
 
 def detect(docs: DataFrame, model: Model | None = None, penalty: float = 3.0, least: float = 0.0) -> DataFrame:
-    """One row a document: doc_id, languages and shares (by falling share), language (the first), n_words, keep.
+    """One row a document: doc_id, languages and shares (by falling share, equal ones by name), language (the first), n_words, keep.
 
-    A text without words, null included, has no languages, language null and keep false. With a label
-    (``lang``) keep says whether the text has a share of that language, or fewer than ``LEAST_WORDS`` words, too few to
-    tell; without one whether its main language is other than ``und``."""
+    A text without words, null included, has no languages, language null and keep false. With a label (``lang``) that the model knows, keep says
+    whether the text has a share of that language, or that language alone explains it nearly as well as the chosen set: the loss is
+    no more than the penalty for one more language, so a few words are rejected only if they speak against the label. Without such a label keep
+    says whether the main language is other than ``und``. Rows with one id are judged each; an empty table gives no rows."""
     model = model or fit(docs)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -140,19 +143,24 @@ def detect(docs: DataFrame, model: Model | None = None, penalty: float = 3.0, le
         m = held.value
         names = np.array(m.languages, object)
         for p in parts:
-            share, words = m.mixture(clean(p["text"]), penalty, least)
+            share, words, against = m.mixture(clean(p["text"]), penalty, least)
             order = np.argsort(-share, axis=1, kind="stable")
             size = (share > 0).sum(1)
-            langs = [list(names[o[:s]]) for o, s in zip(order, size)]
-            yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64"), "languages": langs, "shares": [np.round(x[o[:s]], 4).tolist() for x, o, s in zip(share, order, size)], "language": [x[0] if x else None for x in langs], "n_words": words, "keep": [accepted(x, want, n) for x, want, n in zip(langs, p["lang"], words)]})
+            yield pd.DataFrame({
+                "doc_id": p["doc_id"].astype("Int64"), "languages": [list(names[o[:s]]) for o, s in zip(order, size)], "shares": [np.round(x[o[:s]], 4).tolist() for x, o, s in zip(share, order, size)],
+                "language": [names[o[0]] if s else None for o, s in zip(order, size)], "n_words": words, "keep": accepted(m, p["lang"], share, words, against, penalty),
+            })
 
     return docs.select("doc_id", "text", "lang").mapInPandas(run, "doc_id long, languages array<string>, shares array<double>, language string, n_words long, keep boolean")
 
 
-def accepted(langs: list[str], label, words: int) -> bool:
-    if not langs:
-        return False
-    return label in langs or words < LEAST_WORDS if isinstance(label, str) else langs[0] != UND
+def accepted(m: Model, labels, share: np.ndarray, words: np.ndarray, against: np.ndarray, penalty: float) -> np.ndarray:
+    """Whether each text is kept, given its label."""
+    place = {c: i for i, c in enumerate(m.languages[:-1])}
+    label = np.array([place.get(x, -1) if isinstance(x, str) else -1 for x in labels], np.int64)
+    row = np.arange(len(label))
+    told = (share[row, label] > 0) | (against[row, label] <= penalty * np.log(words + 1.0))
+    return np.where(label >= 0, told, share.argmax(1) != len(m.languages) - 1) & (words > 0)
 
 
 def keep_identified(docs: DataFrame, penalty: float = 3.0, least: float = 0.0) -> DataFrame:
@@ -163,8 +171,7 @@ def keep_identified(docs: DataFrame, penalty: float = 3.0, least: float = 0.0) -
     def kept(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         m = held.value
         for text, lang in parts:
-            share, words = m.mixture(clean(text), penalty, least)
-            yield pd.Series([accepted([m.languages[i] for i in np.argsort(-x, kind="stable") if x[i] > 0], want, n) for x, want, n in zip(share, lang, words)], dtype=bool)
+            yield pd.Series(accepted(m, lang, *m.mixture(clean(text), penalty, least), penalty))
 
     mark = temp_name(docs, "_kept")
     return docs.withColumn(mark, kept("text", "lang")).where(F.col(mark)).drop(mark)
