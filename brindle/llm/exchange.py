@@ -110,3 +110,8 @@ def next_block() -> int:
 def spread(df: DataFrame, key: str, parts: int) -> DataFrame:
     """Shuffle by ``key`` into ``parts`` partitions that stay apart (a block is more work than its bytes tell)."""
     return df.repartition(max(1, parts), key)
+
+
+def by_bucket(df: DataFrame, buckets: int) -> DataFrame:
+    """Shuffle by the int column ``bucket``, each bucket a partition of its own."""
+    return df.repartitionById(buckets, "bucket")

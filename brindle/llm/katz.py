@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.base import materialise, materialise_bucketed
-from brindle.llm.exchange import buckets_for, cut, distinct, merged, next_block, pack, pack_sorted, pack_values, spread, unpack, unpack_sorted, unpack_values
+from brindle.llm.exchange import buckets_for, by_bucket, cut, distinct, merged, next_block, pack, pack_sorted, pack_values, spread, unpack, unpack_sorted, unpack_values
 from brindle.llm.textvec import Tokens, clean, mix, slabs
 
 K = 5
 CUTOFFS = (1, 1, 1)
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-BLOCK_CHARS, PER_BUCKET = 10_000_000, 1_500_000
+BLOCK_CHARS, PER_BUCKET, SLICES = 10_000_000, 1_500_000, 2
 MOST_BLOCK_BUCKETS = 50_000  # files of the table of blocks; Spark allows 100,000
 _M = np.uint64(0x9E3779B97F4A7C15)
 BLOCK_SCHEMA = "block long, n_docs long, n_tokens long, doc_ids binary, no_id binary, sizes binary, words binary, tokens binary"
@@ -77,8 +77,9 @@ def blocks_of(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 
 
 class Grams:
-    """The n-grams of a block: for each order the sorted distinct ``keys``, ``place`` of each position's n-gram among them, ``one``
-    position of each and ``counts``. Position p predicts ``target[p]``; ``begins`` marks a document's first."""
+    """The n-grams of a block. Position p predicts the word ``target[p]``; ``begins`` marks a document's first. ``grams`` has the key of each position's
+    n-gram and ``context`` that of its context, by order. After ``sort``: for each order the sorted distinct ``keys``, ``place`` of each position's n-gram
+    among them, ``one`` position of each and ``counts``."""
 
     def __init__(self, row, order: int, bits: int):
         mask = np.uint64((1 << 64) - (1 << (64 - bits)))
@@ -88,15 +89,16 @@ class Grams:
         n = sizes + 1
         end = np.cumsum(n) - 1
         total = int(n.sum())
-        target = np.empty(total, np.uint64)
+        self.words, of = np.unique(np.append(words, END) & mask, return_inverse=True)
+        self.word = np.empty(total, np.int32)
         is_end = np.zeros(total, bool)
         is_end[end] = True
-        target[~is_end] = words[tokens]
-        target[end] = END
-        target &= mask
+        self.word[~is_end] = of[tokens]
+        self.word[end] = of[-1]
         self.doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
         self.begins = np.zeros(total, bool)
         self.begins[end - sizes] = True
+        target = self.words[self.word]
         grams = [target]
         context = [np.zeros(total, np.uint64)]  # the whole keys of contexts; those of documents' begins keep all their bits
         for _ in range(1, order):
@@ -106,10 +108,26 @@ class Grams:
             ctx[self.begins] = _start(len(context))
             context.append(ctx)
             grams.append(_pair(ctx, target) & mask)
-        self.keys, self.one, self.place, self.counts, self.context = [], [], [], [], context
-        for g in grams:
+        self.grams, self.context = grams, context
+
+    def sort(self) -> Grams:
+        one = np.empty(len(self.words), np.int32)
+        one[self.word] = np.arange(len(self.word), dtype=np.int32)
+        self.keys, self.one, self.place, self.counts = [self.words], [one], [self.word], [np.bincount(self.word, minlength=len(self.words)).astype(np.int32)]
+        for g in self.grams[1:]:
             k, o, p, c = distinct(g)
             self.keys.append(k), self.one.append(o), self.place.append(p), self.counts.append(c)
+        return self
+
+    def counted(self, n: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, counts) of order n's n-grams with a key from ``low`` on and below ``high``."""
+        if n == 0:
+            some = (self.words >= np.uint64(low)) & (self.words <= np.uint64(high - 1))
+            return self.words[some], np.bincount(self.word, minlength=len(self.words))[some]
+        g = self.grams[n]
+        g = np.sort(g[(g >= np.uint64(low)) & (g <= np.uint64(high - 1))])
+        at = np.flatnonzero(np.concatenate((np.ones(min(1, len(g)), bool), g[1:] != g[:-1])))
+        return g[at], np.diff(np.append(at, len(g)))
 
     def context_place(self, n: int) -> np.ndarray:
         """For each distinct n-gram of order n (0 is unigrams) the place of its context among the (n-1)-grams; -1 at a document's begin."""
@@ -153,15 +171,19 @@ def discounts(counts: np.ndarray, cutoff: int) -> np.ndarray:
     return d
 
 
-def _count_requests(blocks: DataFrame, order: int, bits: int, buckets: int) -> DataFrame:
+def _count_requests(blocks: DataFrame, order: int, bits: int, buckets: int, low: int, high: int) -> DataFrame:
+    """Of the keys from ``low`` on and below ``high``."""
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             for row in p.itertuples():
-                g = Grams(row, order, bits)
-                out = [(b, n, row.block, pack_sorted(g.keys[n][s]), pack(g.counts[n][s].astype(np.uint32))) for n in range(order) for b, s in cut(g.keys[n], buckets)]
+                g, out = Grams(row, order, bits), []
+                for n in range(order):
+                    keys, counts = g.counted(n, low, high)
+                    out += [(b, n, row.block, pack_sorted(keys[s]), pack(counts[s].astype(np.uint32))) for b, s in cut(keys, buckets)]
                 yield pd.DataFrame(out, columns=["bucket", "n", "block", "keys", "data"])
 
-    return blocks.mapInPandas(run, "bucket long, n int, block long, keys binary, data binary")
+    return blocks.mapInPandas(run, "bucket int, n int, block long, keys binary, data binary")
 
 
 def _count_replies(requests: DataFrame, cutoffs: tuple) -> DataFrame:
@@ -183,7 +205,7 @@ def _count_replies(requests: DataFrame, cutoffs: tuple) -> DataFrame:
             out.append(("stats", bucket, n, None, None, np.bincount(np.minimum(total, K + 2).astype(np.int64), minlength=K + 3).astype(np.int64).tobytes()))
         return pd.DataFrame(out, columns=["kind", "bucket", "n", "block", "keys", "data"])
 
-    return requests.groupBy("bucket").applyInPandas(run, "kind string, bucket long, n int, block long, keys binary, data binary")
+    return requests.groupBy("bucket").applyInPandas(run, "kind string, bucket int, n int, block long, keys binary, data binary")
 
 
 def _counts(replies: pd.DataFrame, g: Grams) -> list[np.ndarray]:
@@ -211,8 +233,12 @@ class Contexts:
 
     def __init__(self, g: Grams, reply: list[np.ndarray], prob: list[tuple], n: int, m: Params):
         self.stored, ctx, total = prob[n]
-        self.own = (reply[n] & np.uint64(1)).astype(bool) & (self.stored > 0)
-        self.lower = prob[n - 1][0][g.place[n - 1][g.one[n]]]
+        self.own = (reply[n] & np.uint64(1)).astype(bool)
+        self.count = reply[n] >> np.uint64(1)
+        at = g.place[n - 1][g.one[n]]  # each n-gram's without its first word
+        self.lower = prob[n - 1][0][at]
+        self.lower_count = reply[n - 1][at] >> np.uint64(1)
+        self.lower_total = prob[n - 1][2][at] if n > 1 else np.zeros(len(at))
         self.keys, _, self.place, _ = distinct(g.context[n][g.one[n]])
         here = np.where(ctx < 0, float(len(g.sizes)), g.counts[n - 1][np.maximum(ctx, 0)].astype(np.float64))
         self.local = self.of_each(here >= total)
@@ -225,7 +251,7 @@ class Contexts:
         return np.bincount(self.place, flag, minlength=len(self.keys)) > 0
 
     def sums(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.bincount(self.place, np.where(self.own, x, 0.0), minlength=len(self.keys)) for x in (self.stored, self.lower))
+        return tuple(np.bincount(self.place, np.where(self.own & (self.stored > 0), x, 0.0), minlength=len(self.keys)) for x in (self.stored, self.lower))
 
     def local_alpha(self) -> np.ndarray:
         """Of the contexts that are only in this block: the exact weights; 1 elsewhere."""
@@ -246,7 +272,7 @@ def _per_block(blocks: DataFrame, replies: DataFrame, m: Params, each, schema: s
         for row in p.itertuples():
             mine = r[r["block"] == row.block]
             counts = mine[mine["kind"] == "reply"]
-            g = Grams(row, m.order, m.bits)
+            g = Grams(row, m.order, m.bits).sort()
             reply = _counts(counts, g)
             prob = _probabilities(g, reply, m)
             got = each(row, g, prob, lambda n: Contexts(g, reply, prob, n, m), mine)  # noqa: B023
@@ -268,33 +294,46 @@ def _local_backoff(blocks: DataFrame, replies: DataFrame, m: Params) -> DataFram
             out.append(("backoff", None, n, row.block, pack_sorted(c.keys[some]), pack_values(_alpha(mass[some], lower[some]))))
         return out
 
-    return _per_block(blocks, replies, m, each, "kind string, bucket long, n int, block long, keys binary, data binary")
+    return _per_block(blocks, replies, m, each, "kind string, bucket int, n int, block long, keys binary, data binary")
 
 
 def _context_requests(blocks: DataFrame, replies: DataFrame, m: Params, buckets: int) -> DataFrame:
-    """Of contexts that other blocks have too: each stored n-gram's owner adds its probability and its lower-order probability to their sums; ``wants``
-    tells which weights the block needs to know."""
+    """Of contexts that other blocks have too: what each n-gram's owner knows of it, in whole numbers: its count, that of its lower-order n-gram and that of
+    the latter's context. ``wants`` tells which weights the block needs to know."""
 
     def each(row, g, prob, contexts, _):
         out = []
         for n in range(1, m.order):
             c = contexts(n)
-            u = c.used
-            keys, (mass, lower), wants = c.keys[u], (x[u] for x in c.sums()), c.backs[u]
-            out += [(bk, n, row.block, pack_sorted(keys[s]), pack_values(mass[s]), pack_values(lower[s]), pack(np.packbits(wants[s]))) for bk, s in cut(keys, buckets)]
+            mine = np.flatnonzero(c.own & c.used[c.place])
+            mine = mine[np.argsort(c.place[mine], kind="stable")]
+            has = np.bincount(c.place[mine], minlength=len(c.keys))[c.used]
+            edge = np.concatenate(([0], np.cumsum(has)))
+            wants, told = c.backs[c.used], [x[mine].astype(np.uint32) for x in (c.count, c.lower_count, c.lower_total)]
+            for bk, s in cut(c.keys[c.used], buckets):
+                grams = slice(edge[s.start], edge[s.stop])
+                out.append((bk, n, row.block, pack_sorted(c.keys[c.used][s]), pack(has[s].astype(np.uint32)), *(pack(x[grams]) for x in told), pack(np.packbits(wants[s]))))
         return out
 
-    return _per_block(blocks, replies, m, each, "bucket long, n int, block long, keys binary, mass binary, lower binary, wants binary")
+    return _per_block(blocks, replies, m, each, "bucket int, n int, block long, keys binary, has binary, counts binary, lower_counts binary, lower_totals binary, wants binary")
+
 
+def _context_replies(requests: DataFrame, m: Params) -> DataFrame:
+    """The weight of each context from all its n-grams, exact in double precision; kind alpha for the blocks that back off from it."""
 
-def _context_replies(requests: DataFrame) -> DataFrame:
     def run(p: pd.DataFrame) -> pd.DataFrame:
         out = []
         bucket = int(p["bucket"].iloc[0])
         for n, rows in p.groupby("n"):
             keys, _, place, slices = merged([unpack_sorted(x) for x in rows["keys"]])
-            mass, lower = (np.bincount(place, np.concatenate([unpack_values(x) for x in rows[k]]), minlength=len(keys)) for k in ("mass", "lower"))
-            alpha = np.where(mass > 0, _alpha(mass, lower), 1.0)
+            counts, lower_counts, lower_totals, has = (np.concatenate([unpack(x, np.uint32) for x in rows[k]]).astype(np.float64) for k in ("counts", "lower_counts", "lower_totals", "has"))
+            of = np.repeat(place, has.astype(np.int64))
+            weight = m.weight(n, counts)
+            stored = weight > 0
+            total = np.bincount(of, counts, minlength=len(keys))
+            mass = np.bincount(of, weight, minlength=len(keys)) / (total + 1)
+            lower = m.weight(n - 1, lower_counts) / (lower_totals + 1 if n > 1 else m.tokens)
+            alpha = np.where(mass > 0, _alpha(mass, np.bincount(of, np.where(stored, lower, 0.0), minlength=len(keys))), 1.0)
             for block, s, w in zip(rows["block"], slices, rows["wants"]):
                 wanted = alpha[place[s]][np.unpackbits(unpack(w, np.uint8), count=s.stop - s.start).astype(bool)]
                 if len(wanted):
@@ -303,7 +342,7 @@ def _context_replies(requests: DataFrame) -> DataFrame:
             out.append(("backoff", bucket, n, None, pack_sorted(keys[some]), pack_values(alpha[some])))
         return pd.DataFrame(out, columns=["kind", "bucket", "n", "block", "keys", "data"])
 
-    return requests.groupBy("bucket").applyInPandas(run, "kind string, bucket long, n int, block long, keys binary, data binary")
+    return requests.groupBy("bucket").applyInPandas(run, "kind string, bucket int, n int, block long, keys binary, data binary")
 
 
 SCORE_SCHEMA = "doc_id long, n_tokens long, log_prob double, log_prob_per_token double, perplexity double, backed_off long"
@@ -365,7 +404,11 @@ def fit(docs: DataFrame, order: int = 3, cutoffs: tuple = CUTOFFS, block_chars:
     tokens, n_docs = r[0] or 0, r[1] or 0
     grams = (tokens + n_docs) * order
     bits, buckets = key_bits(grams), buckets_for(grams, per_bucket)
-    once = materialise(_count_replies(spread(_count_requests(blocks, order, bits, buckets), "bucket", buckets), cutoffs), "katz-counts", ("kind",))
+    once = None
+    for i in range(SLICES):  # of the keys, one after another, so that only one slice's requests are on disk
+        low, high = ((x << 64) // SLICES for x in (i, i + 1))
+        part = materialise(_count_replies(by_bucket(_count_requests(blocks, order, bits, buckets, low, high), buckets), cutoffs), "katz-counts", ("kind",))
+        once = part if once is None else once.unionByName(part)
     table = np.zeros((order, K + 3), np.int64)
     # merged on the executors, first by bucket's remainder, to one row an order
     stats = once.where("kind = 'stats'").select("n", "data", F.pmod("bucket", F.lit(64)).alias("part"))
@@ -373,9 +416,8 @@ def fit(docs: DataFrame, order: int = 3, cutoffs: tuple = CUTOFFS, block_chars:
         table[x["n"]] += np.frombuffer(x["data"], np.int64)
     m = Params(order, tuple(cutoffs), np.array([discounts(t, c) for t, c in zip(table, cutoffs)]), float(tokens + n_docs), float(n_docs), bits)
     counted = Fitted(m, blocks, parts, once)
+    again = materialise(_context_replies(by_bucket(_context_requests(blocks, counted.replies("reply"), m, buckets), buckets), m), "katz-backoff", ("kind",))
     local = materialise(_local_backoff(blocks, counted.replies("reply"), m), "katz-local", ("kind",))
-    ask = _context_requests(blocks, counted.replies("reply"), m, buckets)
-    again = materialise(_context_replies(spread(ask, "bucket", buckets)), "katz-backoff", ("kind",))
     return Fitted(m, blocks, parts, once.unionByName(local).unionByName(again))
 
 

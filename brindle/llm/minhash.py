@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.base import bit_filter, discard, in_filter, materialise, temp_name
-from brindle.llm.exchange import buckets_for, cut, distinct, merged, next_block, pack, pack_sorted, spread, unpack, unpack_sorted
+from brindle.llm.exchange import buckets_for, by_bucket, cut, distinct, merged, next_block, pack, pack_sorted, spread, unpack, unpack_sorted
 from brindle.llm.textvec import Tokens, clean, mix, shingles, slabs
 
 COORDINATES, SHINGLE, THRESHOLD = 64, 2, 0.6
@@ -120,8 +120,8 @@ def _key_counts(pieces: DataFrame, k: int, buckets: int) -> DataFrame:
         total = np.bincount(place, np.concatenate([unpack(x, np.uint32) for x in p["data"]]), minlength=len(keys)).astype(np.uint32)
         return pd.DataFrame({"piece": p["piece"], "bucket": p["bucket"], "data": [pack(total[place[s]]) for s in slices]})
 
-    asked = pieces.select("piece", "n", "sigs").mapInPandas(ask, "bucket long, piece long, keys binary, data binary")
-    return spread(asked, "bucket", buckets).groupBy("bucket").applyInPandas(reply, "piece long, bucket long, data binary")
+    asked = pieces.select("piece", "n", "sigs").mapInPandas(ask, "bucket int, piece long, keys binary, data binary")
+    return by_bucket(asked, buckets).groupBy("bucket").applyInPandas(reply, "piece long, bucket long, data binary")
 
 
 def _matrix(r, k: int) -> np.ndarray:
@@ -155,7 +155,7 @@ def _postings(pieces: DataFrame, counts: DataFrame, k: int, least: int, buckets:
                     out.append((-1, int(key[s[0]].view(np.int64)), None, entry[s].tobytes(), prints[at[s]].tobytes()))
         return pd.DataFrame(out, columns=["bucket", "key", "keys", "entries", "prints"])
 
-    return spread(pieces.select("piece", "n", "sigs"), "piece", parts).groupBy("piece").cogroup(spread(counts, "piece", parts).groupBy("piece")).applyInPandas(run, "bucket long, key long, keys binary, entries binary, prints binary")
+    return spread(pieces.select("piece", "n", "sigs"), "piece", parts).groupBy("piece").cogroup(spread(counts, "piece", parts).groupBy("piece")).applyInPandas(run, "bucket int, key long, keys binary, entries binary, prints binary")
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -232,7 +232,7 @@ def _edges(postings: DataFrame, k: int, least: int, buckets: int, every: bool) -
             found += _list_edges(entry[s], prints[s], least, every)
         return _edge_frame(found)
 
-    return spread(postings.where("bucket >= 0").select("bucket", "keys", "entries", "prints"), "bucket", buckets).groupBy("bucket").applyInPandas(run, EDGE_SCHEMA)
+    return by_bucket(postings.where("bucket >= 0").select("bucket", "keys", "entries", "prints"), buckets).groupBy("bucket").applyInPandas(run, EDGE_SCHEMA)
 
 
 def _hot_edges(postings: DataFrame, k: int, least: int, hot: int, every: bool, rounds: int = 3) -> list[DataFrame]:
