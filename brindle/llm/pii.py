@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from brindle.llm.base import bit_filter, in_filter, materialise, temp_name
 from brindle.llm.textvec import Tokens, clean, slabs
 
 WINDOW, GENERAL, REMOVE = 8, 0.8, 0.95
+SLICE_BYTES = 1 << 20  # of text that becomes strings at a time; a longer text is alone in its slice, whole
 _FORMS = {
     "EMAIL": r"[\w.+%-]++@[\w-]+(?:\.[\w-]+)+",
     "KEY": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b|-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]*PRIVATE KEY-----|$)",
@@ -214,7 +216,16 @@ def _added(docs: DataFrame) -> tuple[str, str]:
 
 
 def _keys(b: pa.RecordBatch) -> list[bytes]:
-    return [text_key(t) if t is not None else b"\0" * 16 for t in b.column("text").to_pylist()]
+    """``text_key`` of each text, from its bytes as they lie in the batch."""
+    return [xxhash.xxh3_128_digest(t) if t is not None else b"\0" * 16 for t in (x.as_buffer() for x in b.column("text"))]
+
+
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``b`` in runs of rows with about ``SLICE_BYTES`` of text each."""
+    size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(size) - size) // SLICE_BYTES
+    edge = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+    yield from (b.slice(i, j - i) for i, j in zip(edge, edge[1:]))
 
 
 def _may(on: np.ndarray, keys: list[bytes]) -> np.ndarray:
@@ -227,7 +238,7 @@ def _rewritten(docs: DataFrame, drop: tuple[str, ...] = (), maps: str | None = N
     out = StructType([f for f in docs.schema.fields if f.name not in drop] + [StructField(n, t) for n, t in zip(_added(docs), (ArrayType(StringType()), LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for whole in batches for s in _slices(whole)):
             if held is not None:
                 b = b.filter(pa.array(~_may(held.value, _keys(b)), pa.bool_()))
             told = [dict(m) if m else {} for m in b.column(maps).to_pylist()] if maps else [{}] * b.num_rows
