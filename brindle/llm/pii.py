@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from brindle.llm.base import bit_filter, in_filter, materialise, temp_name
+from brindle.llm.base import bit_filter, in_filter, materialise, ship, temp_name
 from brindle.llm.textvec import Tokens, clean, slabs
 
 WINDOW, GENERAL, REMOVE = 8, 0.8, 0.95
@@ -259,6 +259,7 @@ def _maps(known: DataFrame, often: DataFrame, terms: DataFrame) -> DataFrame:
 def _cleaned(docs: DataFrame, window: int = WINDOW, general: float = GENERAL, remove: float = REMOVE) -> DataFrame:
     """``docs`` sanitised, with kinds and n_terms. Only texts with terms to change, found by a fixed-size filter of their digests, go
     through a join; the others are rewritten as they are read."""
+    ship(docs.sparkSession, 4)
     known = materialise(facts(docs, window), "pii-facts")
     often, terms = disclosing(docs, known, general, remove)
     maps = _maps(known, often, terms)
