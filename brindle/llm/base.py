@@ -25,7 +25,7 @@ DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOKENIZERS = os.environ.get("BRINDLE_TOKENIZERS", "/opt/tokenizers")
 
 
-def ship(spark: SparkSession, batch_mb: int = 16) -> None:
+def ship(spark: SparkSession, batch_mb: int = 4) -> None:
     """Give the executors this package once a session, wherever they run, and keep the batches that Python workers get small
     in bytes (until the next call tells another size), so that very long texts don't add up. Spark drops a job's shuffle files when the job has ended."""
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")

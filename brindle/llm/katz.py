@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.base import materialise, materialise_bucketed
+from brindle.llm.base import materialise, materialise_bucketed, ship
 from brindle.llm.exchange import buckets_for, by_bucket, cut, distinct, merged, next_block, pack, pack_sorted, pack_values, spread, unpack, unpack_sorted, unpack_values
 from brindle.llm.textvec import Tokens, clean, mix, slabs
 
@@ -396,6 +396,7 @@ def _added(p: pd.DataFrame) -> pd.DataFrame:
 
 def fit(docs: DataFrame, order: int = 3, cutoffs: tuple = CUTOFFS, block_chars: int | None = None, per_bucket: int | None = None) -> Fitted:
     """Count n-grams up to ``order`` over all of ``docs`` and normalise them. The sizes of blocks and buckets change the work only."""
+    ship(docs.sparkSession, 16)  # a block is cut from one batch
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     block_chars, per_bucket = block_chars or sizes(chars)[0], per_bucket or sizes(chars)[1]
     parts = min(MOST_BLOCK_BUCKETS, max(1, math.ceil(chars / block_chars)))
