@@ -82,12 +82,12 @@ def simplex(f, start: np.ndarray, rounds: int = 400) -> np.ndarray:
 def predictive(p: DataFrame, as_of: str, horizon: int, cells: int = 4000) -> DataFrame:
     """BG/NBD expected purchases within ``horizon`` days and Gamma-Gamma spend a purchase, for each customer.
 
-    The likelihood is fitted on the driver to counts of customers in cells of (x, t_x, t) whose width grows until there are at most
+    The likelihood is fitted on the driver to counts of customers in cells of (x, t_x, t), those without a repeat purchase apart, whose width grows until there are at most
     ``cells`` of them, so what is collected doesn't grow with the customers."""
     s = summary(p, as_of).where("t > 0")
     width = 1
     while True:
-        c = s.groupBy("x", (F.floor(F.col("t_x") / width) * width).alias("tx"), (F.floor(F.col("t") / width) * width).alias("tt")).agg(F.count("*").alias("w"), F.avg("t_x").alias("t_x"), F.avg("t").alias("t"))
+        c = s.groupBy(F.ceil(F.col("x") / width).alias("xx"), (F.floor(F.col("t_x") / width) * width).alias("tx"), (F.floor(F.col("t") / width) * width).alias("tt")).agg(F.count("*").alias("w"), F.avg("x").alias("x"), F.avg("t_x").alias("t_x"), F.avg("t").alias("t"))
         got = c.limit(cells + 1).toPandas()
         if len(got) <= cells:
             break

@@ -143,10 +143,10 @@ def sensitivity(spark, d):
     return g.select("assumption", "factor", F.round(net, 2).alias("net"), (net < 0).alias("flips"))
 
 
-@book.query("""WITH m AS (SELECT CASE WHEN o_totalprice >= 250000 THEN 'big_ticket' WHEN o_orderpriority LIKE '1%' THEN 'urgent' ELSE 'regular' END AS list, o_custkey AS k FROM orders WHERE year(o_orderdate) = 2000 GROUP BY 1, 2), n AS (SELECT list, count(*) AS n FROM m GROUP BY 1)
+@book.query("""WITH m AS (SELECT CASE WHEN o_totalprice >= 250000 THEN 'big_ticket' WHEN o_orderpriority LIKE '1%' THEN 'urgent' ELSE 'regular' END AS list, o_custkey AS k FROM orders GROUP BY 1, 2), n AS (SELECT list, count(*) AS n FROM m GROUP BY 1)
 SELECT a.list AS a, b.list AS b, count(*) AS both, round(count(*) / least(x.n, y.n), 6) AS overlap, CASE WHEN count(*) / least(x.n, y.n) > 0.3 THEN 'fail' WHEN count(*) / least(x.n, y.n) > 0.1 THEN 'warn' ELSE 'pass' END AS verdict FROM m a JOIN m b ON a.k = b.k AND a.list < b.list JOIN n x ON x.list = a.list JOIN n y ON y.list = b.list GROUP BY a.list, b.list, x.n, y.n""")
 def recommendation_conflicts(spark, d):
-    o = load(spark, d, "orders").where(F.year("o_orderdate") == 2000)
+    o = load(spark, d, "orders")
     m = o.select(F.when(F.col("o_totalprice") >= 250000, "big_ticket").when(F.col("o_orderpriority").startswith("1"), "urgent").otherwise("regular").alias("list"), F.col("o_custkey").alias("k")).distinct()
     n = m.groupBy("list").count()
     p = m.withColumnRenamed("list", "a").join(m.withColumnRenamed("list", "b"), "k").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))

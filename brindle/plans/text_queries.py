@@ -53,11 +53,11 @@ def sessions_basic(spark, d):
     return sessions.idle_sessions(e, "user_id", "ts", "30 minutes").agg(F.min("ts").alias("started"), F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value")).select("user_id", "started", "n", "value")
 
 
-@book.query("""WITH e AS (SELECT *, CAST(ts - INTERVAL 6 HOUR AS DATE) AS biz, json_extract_string(props, '$.campaign') AS utm FROM events WHERE user_id % 50 <> 7), l AS (SELECT *, lag(ts) OVER w AS p, lag(biz) OVER w AS pb, lag(utm) OVER w AS pu FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+@book.query("""WITH e AS (SELECT *, CAST(ts - INTERVAL 6 HOUR AS DATE) AS biz, json_extract_string(props, '$.campaign') AS utm FROM events), l AS (SELECT *, lag(ts) OVER w AS p, lag(biz) OVER w AS pb, lag(utm) OVER w AS pu FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 c AS (SELECT *, CASE WHEN p IS NULL THEN 'start' WHEN ts - p > INTERVAL 30 MINUTE THEN 'idle' WHEN biz <> pb THEN 'day' WHEN utm IS DISTINCT FROM pu THEN 'utm' END AS cut FROM l) SELECT cut, count(*) AS n, count(DISTINCT user_id) AS users FROM c WHERE cut IS NOT NULL GROUP BY cut""")
 def sessions_full_rule(spark, d):
-    """Cuts at 30 idle minutes, at the business date and at a change of campaign; bots (here: users whose id ends a certain way) are left out."""
-    e = load(spark, d, "events").where("user_id % 50 <> 7").withColumn("utm", F.get_json_object("props", "$.campaign"))
+    """Cuts at 30 idle minutes, at the business date and at a change of campaign, over all events (flagged bots are the caller's to leave out)."""
+    e = load(spark, d, "events").withColumn("utm", F.get_json_object("props", "$.campaign"))
     s = sessions.cut(e, "user_id", "ts", "event_id", 30, 6, ["utm"])
     return s.where("cut is not null").groupBy("cut").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 

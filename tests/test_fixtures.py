@@ -367,3 +367,10 @@ def test_concordance_equals_all_pairs(spark):
                 good += (a[2] > b[2]) + 0.5 * (a[2] == b[2])
     df = spark.createDataFrame(rows, "t int, e int, r double")
     assert dg.concordance(df, "t", "e", "r").first()["c_index"] == pytest.approx(good / total)
+
+
+def test_lifetime_fit_ends_with_many_frequencies(spark):
+    """More distinct frequencies than cells: the cells widen over them too."""
+    rows = spark.range(120).selectExpr("id AS customer", "explode(sequence(0, cast(id as int))) AS i").selectExpr("customer", "date_add(date'2000-01-01', i) AS day", "10.0D AS amount")
+    got = clv.predictive(rows, "2001-01-01", 365, cells=40).collect()
+    assert len(got) == 120 and all(0 <= r["p_alive"] <= 1 and r["expected_purchases"] >= 0 for r in got)
