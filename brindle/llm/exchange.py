@@ -10,22 +10,33 @@ occurs there, so a frequent key weighs as much as there are blocks.
 from __future__ import annotations
 
 import math
+import threading
 
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
 
 
+_own = threading.local()
+
+
+def _zstd() -> tuple:
+    """This thread's compressor and decompressor: making them costs more than a small array does."""
+    if not hasattr(_own, "zstd"):
+        _own.zstd = zstandard.ZstdCompressor(level=1, write_checksum=False), zstandard.ZstdDecompressor()
+    return _own.zstd
+
+
 def pack(a: np.ndarray) -> bytes:
     """Byte planes of an array, compressed: planes that are constant cost nothing."""
     a = np.ascontiguousarray(a)
     planes = a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T
-    return zstandard.ZstdCompressor(level=1, write_checksum=False).compress(np.ascontiguousarray(planes).tobytes())
+    return _zstd()[0].compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(b: bytes, dtype) -> np.ndarray:
     dtype = np.dtype(dtype)
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    raw = np.frombuffer(_zstd()[1].decompress(b), np.uint8)
     return np.ascontiguousarray(raw.reshape(dtype.itemsize, -1).T).reshape(-1).view(dtype)
 
 

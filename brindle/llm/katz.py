@@ -309,10 +309,10 @@ def _context_requests(blocks: DataFrame, replies: DataFrame, m: Params, buckets:
             mine = mine[np.argsort(c.place[mine], kind="stable")]
             has = np.bincount(c.place[mine], minlength=len(c.keys))[c.used]
             edge = np.concatenate(([0], np.cumsum(has)))
-            wants, told = c.backs[c.used], [x[mine].astype(np.uint32) for x in (c.count, c.lower_count, c.lower_total)]
-            for bk, s in cut(c.keys[c.used], buckets):
+            asked, wants, told = c.keys[c.used], c.backs[c.used], [x[mine].astype(np.uint32) for x in (c.count, c.lower_count, c.lower_total)]
+            for bk, s in cut(asked, buckets):
                 grams = slice(edge[s.start], edge[s.stop])
-                out.append((bk, n, row.block, pack_sorted(c.keys[c.used][s]), pack(has[s].astype(np.uint32)), *(pack(x[grams]) for x in told), pack(np.packbits(wants[s]))))
+                out.append((bk, n, row.block, pack_sorted(asked[s]), pack(has[s].astype(np.uint32)), *(pack(x[grams]) for x in told), pack(np.packbits(wants[s]))))
         return out
 
     return _per_block(blocks, replies, m, each, "bucket int, n int, block long, keys binary, has binary, counts binary, lower_counts binary, lower_totals binary, wants binary")

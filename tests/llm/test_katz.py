@@ -1,7 +1,9 @@
 import math
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from brindle.llm import katz, registry
@@ -123,3 +125,25 @@ def test_spread_does_not_matter(spark):
 def test_model_is_stored(spark):
     m = katz.fit(h.documents(spark, h.mixed(20)))
     assert m.stored("model").count() > 0 and m.stored("backoff").count() > 0
+
+
+def test_requests_read_a_blocks_contexts_once_whatever_the_number_of_buckets(monkeypatch):
+    """Gathering them anew for every bucket is quadratic in the input."""
+    texts = h.mixed(60)
+    g = katz.Grams(SimpleNamespace(**katz.encode_block(0, pd.Series(range(60), dtype="Int64"), texts)), 2, 64).sort()
+    # as if another block had each n-gram once more, so that every context is asked about
+    reply = [(c.astype(np.uint64) + np.uint64(1)) << np.uint64(1) | np.uint64(1) for c in g.counts]
+    m = katz.Params(2, (1, 1), np.full((2, katz.K + 1), 0.9), 2.0 * sum(g.counts[0]), 120.0, 64)
+    c = katz.Contexts(g, reply, katz._probabilities(g, reply, m), 1, m)
+    masked = []
+
+    class Counting(np.ndarray):
+        def __getitem__(self, at):
+            masked.append(not isinstance(at, slice))
+            return np.asarray(self)[at]
+
+    c.keys = c.keys.view(Counting)
+    monkeypatch.setattr(katz, "_per_block", lambda blocks, replies, m, each, schema: each)
+    rows = katz._context_requests(None, None, m, 500)(SimpleNamespace(block=0), g, None, lambda n: c, None)
+    assert len(rows) > 30 and sum(masked) == 1
+    assert np.array_equal(np.concatenate([katz.unpack_sorted(r[3]) for r in rows]), np.asarray(c.keys)[c.used])
