@@ -3,7 +3,8 @@
 Target and raw text each get a bag model over hashed word and symbol n-grams (orders 1 and 2). A
 document's weight is the log ratio of its likelihoods under the two models. The n-grams of a text overlap and repeat, so n of them
 count as ``length`` n / (``length`` + n) independent ones. Gumbel noise keyed by the document id (by the text where there is none) is
-added, and the k largest sums are the sample: Gumbel top-k draws without replacement in proportion to the weights.
+added, and the k largest sums are the sample: Gumbel top-k draws without replacement in proportion to the weights. The queries draw k = ``TARGET``: as
+many documents as have a weight like the target's, a number that doesn't depend on the noise.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.base import hash_fraction, materialise, row_keys, temp_name
+from brindle.llm.base import discard, hash_fraction, materialise, row_keys, temp_name
 from brindle.llm.textvec import Tokens, clean, mix, slabs
 
 BITS = 14
+TARGET = "target"
 _REPEAT = np.uint64(0xA5A5_0F0F_1234_9876)
 
 
@@ -117,16 +119,15 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_features long, log_weight double, gumbel_key double")
 
 
-def calibrated_cut(docs: DataFrame, model: Model, sample: DataFrame, lost: float = 0.001) -> float:
-    """The key below which at most the share ``lost`` of the labelled good documents lies, each scored by a model that hasn't seen it (of the other
-    half's labels). The k of the top-k is then the number of documents at or above it, so no sort is needed. Without labels:
-    everything that isn't empty stays."""
+def calibrated_cut(docs: DataFrame, model: Model, sample: DataFrame, lost: float = 0.001, column: str = "gumbel_key") -> float:
+    """The key (or what ``column`` names) below which at most the share ``lost`` of the labelled good documents lies, each scored by a model that hasn't
+    seen it (of the other half's labels). Without labels: everything that isn't empty stays."""
     good = F.broadcast(sample.where("quality = 1").select(F.col("doc_id").alias("_id"), _half(F.col("doc_id"), model.seed).alias("_q")))
     mine = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_q")
     keys = []
     for half in (1, 2):
         m = replace(model, log_ratio=model.folds[half - 1], folds=())
-        keys.append(scored(mine.where(F.col("_q") == half), m).where("n_features > 0").select("gumbel_key").toPandas()["gumbel_key"].to_numpy())
+        keys.append(scored(mine.where(F.col("_q") == half), m).where("n_features > 0").select(column).toPandas()[column].to_numpy())
     keys = np.concatenate(keys)
     return float(np.quantile(keys, lost, method="lower")) if len(keys) else -1e300
 
@@ -158,34 +159,54 @@ def top_k(keys: DataFrame, k: int) -> DataFrame:
     return sure.unionByName(near.limit(max(0, k - sure.count())))
 
 
-def select(docs: DataFrame, labels: DataFrame, k: int | None = None, **params) -> DataFrame:
-    """One row a document: doc_id, n_features, log_weight, gumbel_key, selected. With ``k`` the sample has
-    exactly min(k, non-empty documents) rows; without, k is set by ``calibrated_cut``. Empty texts weigh
-    minus infinity and are never selected."""
+def target_size(rows: DataFrame, docs: DataFrame, model: Model, sample: DataFrame) -> int:
+    """The size of the draw by ``TARGET``: how many documents have a weight, without noise, that loses one in a thousand labelled good ones."""
+    return rows.where((F.col("n_features") > 0) & (F.col("log_weight") >= calibrated_cut(docs, model, sample, column="log_weight"))).count()
+
+
+def select(docs: DataFrame, labels: DataFrame, k: int | str | None = None, **params) -> DataFrame:
+    """One row a document: doc_id, n_features, log_weight, gumbel_key, selected. With a number ``k`` the sample has
+    exactly min(k, non-empty documents) rows; with ``TARGET`` k is ``target_size``. Without k nothing is drawn: a filter at ``calibrated_cut``. Empty texts
+    weigh minus infinity and are never selected."""
     model, sample = fit(docs, labels, **params)
     rows = scored(docs, model)
     if k is None:
         return rows.withColumn("selected", F.col("gumbel_key") >= F.lit(calibrated_cut(docs, model, sample)))
     rows = materialise(rows, "quality-rows")
+    k = target_size(rows, docs, model, sample) if k == TARGET else k
     order = Window.partitionBy("doc_id", "gumbel_key").orderBy("log_weight")
     chosen = top_k(rows, k).groupBy("doc_id", "gumbel_key").agg(F.count("*").alias("_n"))
     ranked = rows.withColumn("_r", F.row_number().over(order))
     return ranked.join(chosen.withColumnRenamed("doc_id", "_d").withColumnRenamed("gumbel_key", "_k"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("gumbel_key") == F.col("_k")), "left").select("doc_id", "n_features", "log_weight", "gumbel_key", F.coalesce(F.col("_r") <= F.col("_n"), F.lit(False)).alias("selected"))
 
 
-def keep_selected(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """Pipeline form: the documents of the sample, with all their columns."""
+def keep_selected(docs: DataFrame, labels: DataFrame, k: int | str | None = None, **params) -> DataFrame:
+    """Pipeline form: the documents of the sample (``k`` as in ``select``), with all their columns. Documents are scored again as they are read, against the
+    middle between the last key drawn and the next; only documents whose key is the last one, where not all of these are drawn, are sorted."""
     model, sample = fit(docs, labels, **params)
-    cut = calibrated_cut(docs, model, sample)
+    mark, left, last = temp_name(docs, "_key"), 0, 0.0
+    if k is None:
+        cut = calibrated_cut(docs, model, sample)
+    else:
+        rows = materialise(scored(docs, model), "quality-rows")
+        drawn = top_k(rows, target_size(rows, docs, model, sample) if k == TARGET else k)
+        n, last = drawn.agg(F.count("*"), F.min("gumbel_key")).first()
+        if not n:
+            return docs.limit(0)
+        above, ties, below = rows.agg(F.count_if(F.col("gumbel_key") > last), F.count_if(F.col("gumbel_key") == last), F.max(F.when((F.col("gumbel_key") < last) & (F.col("n_features") > 0), F.col("gumbel_key")))).first()
+        left = n - above if above + ties > n else 0
+        cut = float(np.nextafter(last, np.inf)) if left else (last + below) / 2 if below is not None else -1e300
+        discard(rows)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def chosen(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("double")
+    def key(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for text, ids in parts:
-            yield pd.Series(held.value.score(clean(text), ids.astype("Int64"))[2] >= cut)
+            yield pd.Series(held.value.score(clean(text), ids.astype("Int64"))[2])
 
-    mark = temp_name(docs, "_selected")
-    return docs.withColumn(mark, chosen("text", "doc_id")).where(F.col(mark)).drop(mark)
+    marked = docs.withColumn(mark, key("text", "doc_id"))
+    kept = marked.where(F.col(mark) >= cut).drop(mark)
+    return kept.unionByName(marked.where(F.col(mark) == last).orderBy("doc_id").limit(left).drop(mark)) if left else kept
 
 
-__all__ = ["calibrated_cut", "fit", "hash_fraction", "keep_selected", "scored", "select", "top_k"]
+__all__ = ["TARGET", "calibrated_cut", "fit", "hash_fraction", "keep_selected", "scored", "select", "target_size", "top_k"]

@@ -32,7 +32,7 @@ def op4_exact_digest(spark, sf_dir):
 def op5_importance_resampling(spark, sf_dir):
     from brindle.llm import quality
 
-    return quality.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality.TARGET)
 
 
 def op6_hilbert_packing(spark, sf_dir):

@@ -16,7 +16,7 @@ from brindle.session import shared_dir
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling draws."""
-    return quality.keep_selected(docs, table(spark, sf_dir, "labels"))
+    return quality.keep_selected(docs, table(spark, sf_dir, "labels"), quality.TARGET)
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from brindle.llm import hilbert, langid, pii, quality
+from brindle.llm import hilbert, langid, pii, quality, registry
 from tests.llm import helpers as h
 
 
@@ -64,6 +64,38 @@ def test_selection_equals_brute_force(spark):
     assert few == {i for _, i in sorted(zip(keys(range(80), good), range(80)), reverse=True)[:7]}
 
 
+def test_registered_query_draws_the_k_largest_keys(spark, tmp_path):
+    """k from the weights of labelled good documents that the model hasn't seen, not from any document's noise."""
+    rng = random.Random(16)
+    texts = [h.sentence(rng, "en", rng.randint(20, 40)) for _ in range(60)] + [h.sentence(rng, "en", 120 - 3 * i) + " " + h.sentence(rng, "de", 3 * i) for i in range(40)] + ["", None]
+    h.documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    h.labels(spark, lab := [(i, int(i < 60), 0) for i in range(0, 100, 2)]).write.parquet(f"{tmp_path}/labels.parquet")
+    m, _ = quality.fit(h.documents(spark, texts), h.labels(spark, lab))
+    half = dict(spark.range(100).select("id", quality._half(quality.F.col("id"), m.seed)).collect())
+    unseen = [quality.replace(m, log_ratio=m.folds[half[i] - 1]).score([texts[i]], pd.Series([i], dtype="Int64"))[1][0] for i in range(0, 60, 2)]
+    got = registry.op5_importance_resampling(spark, str(tmp_path)).toPandas()
+    k = int((got["log_weight"] >= min(unseen)).sum())
+    assert 0 < k < 100 and k != (got["gumbel_key"] >= quality.calibrated_cut(h.documents(spark, texts), m, quality.labelled_sample(h.labels(spark, lab), 100, m.seed))).sum()
+    drawn = set(got[got["selected"]]["doc_id"])
+    assert drawn == set(got[got["n_features"] > 0].nlargest(k, "gumbel_key")["doc_id"]) and len(drawn) == k
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"] for r in corpus_pipeline.by_quality(spark, d, str(tmp_path)).collect()} == drawn
+
+
+def test_draw_of_the_pipeline_with_ties_and_without_labels(spark):
+    rng = random.Random(15)
+    rows = [(None, "the same text without any id", j) for j in range(5)] + [(i, h.sentence(rng, "en", 20), 0) for i in range(15)] + [(20, "", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    lab = h.labels(spark, [(i, i % 2, 0) for i in range(10)])
+    for k in (0, 1, 4, 10, 17, 19, 20, 100, quality.TARGET):
+        got, flags = quality.keep_selected(d, lab, k).collect(), quality.select(d, lab, k).where("selected").collect()
+        assert k == quality.TARGET or len(got) == min(k, 20)
+        assert sorted(r["doc_id"] or -1 for r in got) == sorted(r["doc_id"] or -1 for r in flags)
+    for none in ([], [(1, 0, 0)]):
+        assert quality.keep_selected(d, h.labels(spark, none), quality.TARGET).count() == 20
+    assert quality.keep_selected(h.empty(spark), lab, quality.TARGET).count() == 0
+
+
 def test_gumbel_draws_follow_the_weights():
     m = quality.Model(np.zeros(1 << quality.BITS), 64.0, 1.0, 3)
     f = [quality.features([t])[0] for t in ("heavy", "light")]
