@@ -25,6 +25,7 @@ from brindle.llm.textvec import Tokens, clean, mix, shingles, slabs
 
 COORDINATES, SHINGLE, THRESHOLD = 64, 2, 0.6
 HOT = 20_000  # entries that one task may compare with each other
+SLICES = 2  # of the posting keys, one after another, so that only one slice's postings are on disk
 _rng = np.random.default_rng(20_240_229)
 _XOR = _rng.integers(0, 1 << 63, 512).astype(np.uint64)
 _MUL = (_rng.integers(0, 1 << 63, 512).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -128,8 +129,8 @@ def _matrix(r, k: int) -> np.ndarray:
     return np.frombuffer(r.sigs, np.uint32).reshape(r.n, k)
 
 
-def _postings(pieces: DataFrame, counts: DataFrame, k: int, least: int, buckets: int, hot: int, parts: int) -> DataFrame:
-    """Postings under the prefix keys, packed by bucket; those of a key that more than ``hot`` entries have in rows of their own, of bucket -1."""
+def _postings(pieces: DataFrame, counts: DataFrame, k: int, least: int, buckets: int, hot: int, parts: int, low: int, high: int) -> DataFrame:
+    """Postings under the prefix keys from ``low`` on and below ``high``, packed by bucket; those of a key that more than ``hot`` entries have in rows of their own, of bucket -1."""
 
     def run(p: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -143,7 +144,7 @@ def _postings(pieces: DataFrame, counts: DataFrame, k: int, least: int, buckets:
             keys, df, shared = all_keys[have], df[have], shared[have]
             rank = np.lexsort((keys, np.where(df > 1, df, np.iinfo(np.uint32).max)), axis=1)
             order = np.argsort(rank, axis=1)  # position of each coordinate's key from rare to frequent
-            at, col = np.nonzero(order < (shared - least + 1)[:, None])
+            at, col = np.nonzero((order < (shared - least + 1)[:, None]) & (keys >= np.uint64(low)) & (keys <= np.uint64(high - 1)))
             prints = (keys & np.uint64(0xFFFF)).astype(np.uint16)
             key, entry, often = keys[at, col], _numbers(r.piece, r.n)[have][at], df[at, col] > hot
             by = np.argsort(key)
@@ -312,18 +313,27 @@ def components(edges: DataFrame) -> DataFrame:
 def matching(docs: DataFrame, coordinates: int = COORDINATES, shingle: int = SHINGLE, threshold: float = THRESHOLD, every: bool = False, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(document rows, index entries, matching pairs of entries); ``every`` asks for all pairs, not only a connecting set."""
     least = math.ceil(coordinates * threshold)
-    rows = materialise(signed(docs, coordinates, shingle), "minhash-signatures")
-    pieces = materialise(_pieces(rows), "minhash-pieces")
+    full = materialise(signed(docs, coordinates, shingle), "minhash-signatures")
+    pieces = materialise(_pieces(full), "minhash-pieces")
+    rows = materialise(full.drop("sig"), "minhash-rows")
+    discard(full)
     n, parts = pieces.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    counts = _key_counts(pieces, coordinates, buckets_for(n * coordinates))
+    counts = materialise(_key_counts(pieces, coordinates, buckets_for(n * coordinates)), "minhash-counts")
     buckets = buckets_for(n * (coordinates - least + 1), 400_000)
-    postings = materialise(_postings(pieces, counts, coordinates, least, buckets, hot, parts), "minhash-postings")
-    edges = _edges(postings, coordinates, least, buckets, every)
-    for more in _hot_edges(postings, coordinates, least, hot, every):
-        edges = edges.unionByName(more)
-    edges = materialise(edges, "minhash-edges")
-    discard(postings)
-    return rows, _entries(pieces), edges
+    edges = None
+    for i in range(SLICES):  # a key's list is in one slice
+        low, high = ((x << 64) // SLICES for x in (i, i + 1))
+        postings = materialise(_postings(pieces, counts, coordinates, least, buckets, hot, parts, low, high), "minhash-postings")
+        found = _edges(postings, coordinates, least, buckets, every)
+        for more in _hot_edges(postings, coordinates, least, hot, every):
+            found = found.unionByName(more)
+        found = materialise(found, "minhash-edges")
+        discard(postings)
+        edges = found if edges is None else edges.unionByName(found)
+    entries = materialise(_entries(pieces), "minhash-entries")
+    discard(pieces)
+    discard(counts)
+    return rows, entries, edges
 
 
 def pairs(docs: DataFrame, **params) -> DataFrame:

@@ -121,3 +121,24 @@ def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in minhash.components(e).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[101] == 100
+
+
+def test_postings_are_on_disk_a_slice_at_a_time(spark, monkeypatch):
+    """Written all at once beside the signatures they took 4.16 times the input, projected to 30 GB."""
+    written, gone, sizes = [], [], []
+
+    def materialise(df, name, *more):
+        out = real(df, name, *more)
+        out._name = name
+        if name == "minhash-postings":
+            sizes.append(sum(len(r["prints"]) for r in out.select("prints").collect()))
+            assert "minhash-signatures" in gone and written.count(name) == gone.count(name)
+        written.append(name)
+        return out
+
+    real, remove = minhash.materialise, minhash.discard
+    monkeypatch.setattr(minhash, "materialise", materialise)
+    monkeypatch.setattr(minhash, "discard", lambda df: (gone.append(getattr(df, "_name", None)), remove(df)))
+    minhash.matching(h.documents(spark, corpus()))
+    assert len(sizes) == minhash.SLICES > 1 and max(sizes) < 0.7 * sum(sizes)
+    assert {"minhash-postings", "minhash-pieces", "minhash-counts"} <= set(gone)
