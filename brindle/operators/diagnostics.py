@@ -108,9 +108,10 @@ def breusch_pagan(rows: DataFrame, xs: list[str], y: str) -> DataFrame:
 def ks_normal(rows: DataFrame, y: str) -> DataFrame:
     """Largest distance between the empirical distribution and the normal one of the same mean and deviation, at 1,000 quantiles."""
     q = [i / 1000 for i in range(1, 1000)]
-    a = rows.agg(F.percentile(y, q).alias("q"), F.avg(y).alias("m"), F.stddev_samp(y).alias("s"), F.count(y).alias("n")).first()
-    d = max(abs(p - dist.normal_cdf((v - a["m"]) / a["s"])) for p, v in zip(q, a["q"]))
-    return rows.sparkSession.createDataFrame([(float(d), a["n"], 1.358 / math.sqrt(a["n"]))], "distance double, n long, critical double")
+    a = rows.agg(F.avg(y).alias("m"), F.stddev_samp(y).alias("s"), F.count(y).alias("n")).first()
+    v = ordered.quantiles(rows, y, q).first()
+    d = max(abs(p - dist.normal_cdf((x - a["m"]) / a["s"])) for p, x in zip(q, v["q"])) if a["s"] else None
+    return rows.sparkSession.createDataFrame([(d, a["n"], 1.358 / math.sqrt(a["n"]) if a["n"] else None)], "distance double, n long, critical double")
 
 
 def smearing(rows: DataFrame, xs: list[str], y: str) -> DataFrame:

@@ -58,7 +58,7 @@ def kruskal(rows: DataFrame, group: str, y: str) -> DataFrame:
 
 def levene(rows: DataFrame, group: str, y: str, center: str = "median") -> DataFrame:
     """Levene's (mean) or Brown and Forsythe's (median) test: the analysis of variance of distances from the group's centre."""
-    c = rows.groupBy(group).agg((F.percentile(y, 0.5) if center == "median" else F.avg(y)).alias("_c"))
+    c = ordered.quantiles(rows, y, [0.5], [group]).select(group, F.col("q")[0].alias("_c")) if center == "median" else rows.groupBy(group).agg(F.avg(y).alias("_c"))
     z = rows.join(c, group).withColumn("_z", F.abs(F.col(y) - F.col("_c")))
     return anova(moments(z, group, "_z"))
 

@@ -58,7 +58,9 @@ def stockpile_index(spark, d):
     mean = g.groupBy("customer").agg(F.avg("gap").alias("m"))
     r = g.where("gap is not null").join(mean, "customer").withColumn("x", ratio("gap", "m"))
     promo = F.month("day") == 5
-    return r.agg(F.round(F.percentile(F.when(promo, F.col("x")), 0.5) / F.percentile(F.when(~promo, F.col("x")), 0.5), 6).alias("stockpile_index"))
+    q = ordered.quantiles(r.select(promo.alias("promo"), "x"), "x", [0.5], ["promo"])
+    m = lambda v: F.max(F.when(F.col("promo") == v, F.col("q")[0]))
+    return q.agg(F.round(m(True) / m(False), 6).alias("stockpile_index"))
 
 
 @book.query("""WITH x AS (SELECT DISTINCT l_orderkey AS k, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT count(DISTINCT k)::DOUBLE AS n FROM x), o AS (SELECT i, count(*)::DOUBLE AS c FROM x GROUP BY i), p AS (SELECT x.i AS a, y.i AS b, count(*) AS both_n FROM x JOIN x y ON x.k = y.k AND x.i < y.i GROUP BY 1, 2 HAVING count(*) >= 5),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from brindle.operators import clv, customers
+from brindle.operators import clv, customers, ordered
 from brindle.plans.base import Book
 from brindle.tables import AS_OF, lines, load, purchases
 
@@ -57,9 +57,10 @@ def interval_stats(spark, d):
     per = g.groupBy("customer").agg(F.count("*").alias("n"), F.sum("gap").alias("s"), F.avg("gap").alias("mle"))
     a = p.agg(F.count("*").alias("n_rows"))
     b = customers.customer_days(p, AS_OF).agg(F.count("*").alias("customer_days"))
-    c = per.agg(F.sum("n").alias("n_intervals"), F.round(F.sum("s") / F.sum("n"), 6).alias("mean_gap"), F.round(F.percentile("mle", 0.5), 6).alias("median_mle"))
+    c = per.agg(F.sum("n").alias("n_intervals"), F.round(F.sum("s") / F.sum("n"), 6).alias("mean_gap"))
+    m = ordered.quantiles(per, "mle", [0.5]).select(F.round(F.col("q")[0], 6).alias("median_mle"))
     e = g.agg(F.round(F.percentile("gap", 0.5), 6).alias("median_gap"))
-    return a.crossJoin(b).crossJoin(c).crossJoin(e)
+    return a.crossJoin(b).crossJoin(c).crossJoin(m).crossJoin(e)
 
 
 @book.query("""SELECT o_custkey AS customer, count(*) AS f_lines, count(DISTINCT l_orderkey) AS f_txn, count(DISTINCT CAST(o_orderdate AS DATE)) AS f_days, count(DISTINCT CAST(o_orderdate AS DATE)) <= count(DISTINCT l_orderkey) AND count(DISTINCT l_orderkey) <= count(*) AS ordered

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brindle.functions.scalars import business_date, money, normal_text, unless_sentinel, yeo_johnson
-from brindle.operators import joins
+from brindle.operators import joins, ordered
 from brindle.plans.base import Book
 from brindle.tables import lines, load, purchases
 
@@ -127,15 +127,16 @@ def five_number_profile(spark, d):
     m = o.agg(F.avg("x").alias("m"))
     n = F.count("*").cast("double")
     skew = F.skewness("x") * F.sqrt(n * (n - 1)) / (n - 2)
-    a = o.crossJoin(F.broadcast(m)).agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min("x").alias("low"), F.max("x").alias("high"), F.round(F.stddev_samp("x") / F.avg("x"), 6).alias("cv"), F.round(skew, 5).alias("skew"), F.round(F.kurtosis("x"), 5).alias("kurt_pop"), F.round(F.avg(F.abs(F.col("x") - F.col("m"))), 4).alias("mad"), F.round(F.var_pop("x"), 0).alias("var_pop"), F.round(F.exp(F.avg(F.ln("x"))), 4).alias("geometric"), F.round(n / F.sum(1 / F.col("x")), 4).alias("harmonic"))
-    return a.select(F.lit("amount").alias("metric"), *[F.round(F.col("q")[i], 4).alias(c) for i, c in enumerate(("q1", "median", "q3"))], *[c for c in a.columns if c != "q"])
+    a = o.crossJoin(F.broadcast(m)).agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.min("x").alias("low"), F.max("x").alias("high"), F.round(F.stddev_samp("x") / F.avg("x"), 6).alias("cv"), F.round(skew, 5).alias("skew"), F.round(F.kurtosis("x"), 5).alias("kurt_pop"), F.round(F.avg(F.abs(F.col("x") - F.col("m"))), 4).alias("mad"), F.round(F.var_pop("x"), 0).alias("var_pop"), F.round(F.exp(F.avg(F.ln("x"))), 4).alias("geometric"), F.round(n / F.sum(1 / F.col("x")), 4).alias("harmonic"))
+    q = ordered.quantiles(o, "x", [0.25, 0.5, 0.75])
+    return a.crossJoin(F.broadcast(q)).select(F.lit("amount").alias("metric"), *[F.round(F.col("q")[i], 4).alias(c) for i, c in enumerate(("q1", "median", "q3"))], *a.columns)
 
 
 @book.query("""WITH q AS (SELECT c_mktsegment AS seg, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
 SELECT seg, count(*) AS n, sum((x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1))::INT)::BIGINT AS outside_inner, sum((x < q1 - 3 * (q3 - q1) OR x > q3 + 3 * (q3 - q1))::INT)::BIGINT AS outside_outer FROM (SELECT c_mktsegment AS seg, o_totalprice AS x FROM orders JOIN customer ON o_custkey = c_custkey) JOIN q USING (seg) GROUP BY seg""")
 def outlier_fences(spark, d):
     x = purchases(spark, d).join(load(spark, d, "customer"), F.col("customer") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("seg"), F.col("amount").alias("x"))
-    q = x.groupBy("seg").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = ordered.quantiles(x, "x", [0.25, 0.75], ["seg"])
     iqr = F.col("q")[1] - F.col("q")[0]
     out = lambda k: F.sum(((F.col("x") < F.col("q")[0] - k * iqr) | (F.col("x") > F.col("q")[1] + k * iqr)).cast("long"))
     return x.join(q, "seg").groupBy("seg").agg(F.count("*").alias("n"), out(1.5).alias("outside_inner"), out(3).alias("outside_outer"))
@@ -176,7 +177,8 @@ def group_estimates_hhi(spark, d):
     a = purchases(spark, d).groupBy("customer").agg(F.sum("amount").alias("m")).join(load(spark, d, "customer"), F.col("customer") == F.col("c_custkey"))
     total = a.groupBy("c_mktsegment").agg(F.sum("m").alias("total"))
     s = F.col("m") / F.col("total")
-    return a.join(total, "c_mktsegment").groupBy(F.col("c_mktsegment").alias("seg")).agg(F.count("*").alias("n"), F.round(F.avg("m"), 2).alias("mean"), F.round(F.percentile("m", 0.5), 2).alias("median"), F.round(F.max(s), 8).alias("top1_share"), F.round(F.sum(s * s), 8).alias("hhi"))
+    q = ordered.quantiles(a, "m", [0.5], ["c_mktsegment"])
+    return a.join(total, "c_mktsegment").join(q, "c_mktsegment").groupBy(F.col("c_mktsegment").alias("seg")).agg(F.count("*").alias("n"), F.round(F.avg("m"), 2).alias("mean"), F.round(F.first(F.col("q")[0]), 2).alias("median"), F.round(F.max(s), 8).alias("top1_share"), F.round(F.sum(s * s), 8).alias("hhi"))
 
 
 @book.query("""SELECT round(corr(l_quantity, l_extendedprice), 8) AS r_qty_price, round(covar_samp(l_quantity, l_discount), 8) AS cov_qty_disc, round((corr(l_extendedprice, l_tax) - corr(l_extendedprice, l_quantity) * corr(l_tax, l_quantity)) / sqrt((1 - power(corr(l_extendedprice, l_quantity), 2)) * (1 - power(corr(l_tax, l_quantity), 2))), 8) AS partial_price_tax FROM lineitem""")

@@ -374,3 +374,23 @@ def test_lifetime_fit_ends_with_many_frequencies(spark):
     rows = spark.range(120).selectExpr("id AS customer", "explode(sequence(0, cast(id as int))) AS i").selectExpr("customer", "date_add(date'2000-01-01', i) AS day", "10.0D AS amount")
     got = clv.predictive(rows, "2001-01-01", 365, cells=40).collect()
     assert len(got) == 120 and all(0 <= r["p_alive"] <= 1 and r["expected_purchases"] >= 0 for r in got)
+
+
+@pytest.mark.parametrize("per_range", [7, 10**6])
+def test_quantiles_over_ranges_are_percentiles(spark, monkeypatch, per_range):
+    monkeypatch.setattr(ordered, "PER_RANGE", per_range)
+    df = spark.createDataFrame([(None if i % 5 == 4 else "ab"[i % 2], None if i % 11 == 3 else float(i * i % 37) / 3) for i in range(90)] + [("z", None)], "g string, y double")
+    at = [0.0, 0.001, 0.25, 1 / 3, 0.5, 0.999, 1.0]
+    want = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.percentile("y", at).alias("q")).collect()}
+    assert {r["g"]: r["q"] for r in ordered.quantiles(df, "y", at, ["g"]).collect()} == want and want["z"] is None
+    assert ordered.quantiles(df, "y", at).first()["q"] == df.agg(F.percentile("y", at)).first()[0]
+    assert ordered.quantiles(df.where("g = 'z'"), "y", at).first()["q"] is None
+
+
+def test_ks_holds_no_column_in_one_task(spark, monkeypatch):
+    df = spark.range(2001).select((F.col("id") * 7919 % 2001).cast("double").alias("y"))
+    q = df.agg(F.percentile("y", [i / 1000 for i in range(1, 1000)])).first()[0]
+    m, s = np.mean(range(2001)), np.std(range(2001), ddof=1)
+    monkeypatch.setattr(F, "percentile", None)
+    assert dg.ks_normal(df, "y").first()["distance"] == pytest.approx(max(abs((i + 1) / 1000 - dist.normal_cdf((v - m) / s)) for i, v in enumerate(q)), rel=1e-12)
+    assert dg.ks_normal(df.where("y < 0"), "y").first()["distance"] is None and dg.ks_normal(df.where("y = 1"), "y").first()["n"] == 1
