@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from datetime import date
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.session import materialise
+
+PAIRS = 2_000_000  # to a partition, where pairs are counted
+
 
 def as_of(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, values: list[str]) -> DataFrame:
     """Each left row with the values of the latest right row of its key at or before its time (null if there is none).
@@ -59,9 +64,17 @@ def history(rows: DataFrame, key: str, time: str, attribute: str) -> DataFrame:
 
 
 def overlaps(members: DataFrame, group: str, key: str) -> DataFrame:
-    """(a, b, both, jaccard) of every two groups that share members."""
-    m = members.select(F.col(group).alias("g"), F.col(key).alias("k")).distinct()
-    n = m.groupBy("g").count()
-    pair = m.withColumnRenamed("g", "a").join(m.withColumnRenamed("g", "b"), "k").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+    """(a, b, both, jaccard) of every two groups that share members.
+
+    Each member's sorted groups go to every group among them, cut behind it; pairs are opened there and counted without another shuffle. The partitions
+    follow from the exact number of pairs, so that the counts of one stay in memory."""
+    m = members.select(F.col(group).alias("g"), F.col(key).alias("k")).where("g is not null").repartition("k").distinct()
+    s = materialise(m.groupBy("k").agg(F.sort_array(F.collect_list("g")).alias("s")).select(F.col("k").isNotNull().alias("known"), "s"), "baskets")
+    n = materialise(s.select(F.explode("s").alias("g")).groupBy("g").count(), "group-sizes")
+    s = s.where("known and size(s) > 1")
+    pairs = s.agg(F.sum(F.size("s").cast("double") * (F.size("s") - 1) / 2)).first()[0] or 0
+    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs / PAIRS))
+    cut = s.select(F.posexplode("s").alias("i", "a"), "s").where("i < size(s) - 1").select("a", F.slice("s", F.col("i") + 2, F.size("s")).alias("s"))
+    pair = cut.repartition(parts, "a").select("a", F.explode("s").alias("b")).groupBy("a", "b").agg(F.count("*").alias("both"))
     out = pair.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
     return out.select("a", "b", "both", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))

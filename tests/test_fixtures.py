@@ -394,3 +394,15 @@ def test_ks_holds_no_column_in_one_task(spark, monkeypatch):
     monkeypatch.setattr(F, "percentile", None)
     assert dg.ks_normal(df, "y").first()["distance"] == pytest.approx(max(abs((i + 1) / 1000 - dist.normal_cdf((v - m) / s)) for i, v in enumerate(q)), rel=1e-12)
     assert dg.ks_normal(df.where("y < 0"), "y").first()["distance"] is None and dg.ks_normal(df.where("y = 1"), "y").first()["n"] == 1
+
+
+@pytest.mark.parametrize("per_partition", [1, 10**6])
+def test_overlaps_join_no_members_to_members(spark, monkeypatch, per_partition):
+    monkeypatch.setattr(joins, "PAIRS", per_partition)
+    rows = [(i % 7, i * i % 11) for i in range(60)] * 2 + [(None, 1), (3, None), (4, None), (6, 99)]
+    o = joins.overlaps(spark.createDataFrame(rows, "g long, k long"), "g", "k")
+    of = {g: {k for x, k in rows if x == g} for g in range(7)}
+    both = {(a, b): len((of[a] & of[b]) - {None}) for a in of for b in of if a < b}
+    want = {p: (n, n / (len(of[p[0]]) + len(of[p[1]]) - n)) for p, n in both.items() if n}
+    assert {(r["a"], r["b"]): (r["both"], r["jaccard"]) for r in o.collect()} == want
+    assert o._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2  # the two sizes
