@@ -114,17 +114,28 @@ def predictive(p: DataFrame, as_of: str, horizon: int, cells: int = 4000) -> Dat
 
 def cai_permutation(intervals: DataFrame, draws: int, seed: int = 5) -> DataFrame:
     """(customer, cai, p_value): share of ``draws`` random orders of a customer's gaps whose index is as far from 0. Draws are seeded
-    by the customer, so they don't depend on how rows are spread."""
+    by the customer, so they don't depend on how rows are spread. A customer is one row with its gaps in order, so that Python gets many at once;
+    equal gaps have one order only and need no draws."""
 
-    def run(q: pd.DataFrame) -> pd.DataFrame:
-        g = q.sort_values("j")["gap"].to_numpy(float)
-        j = np.arange(1, len(g) + 1)
+    def test(customer: int, g: np.ndarray) -> tuple[float, float]:
         mle = g.mean()
-        cai = lambda v: (mle - (v * j).sum(-1) / j.sum()) / mle * 100
         if mle == 0:
-            return pd.DataFrame({"customer": [q["customer"].iloc[0]], "cai": [0.0], "p_value": [1.0]})
-        rng = np.random.default_rng([seed, int(q["customer"].iloc[0])])
-        null = cai(rng.permuted(np.tile(g, (draws, 1)), axis=1))
-        return pd.DataFrame({"customer": [q["customer"].iloc[0]], "cai": [cai(g)], "p_value": [(1 + (abs(null) >= abs(cai(g)) - 1e-12).sum()) / (draws + 1)]})
+            return 0.0, 1.0
+        j = np.arange(1.0, len(g) + 1)
+        cai = lambda v: (mle - v @ j / j.sum()) / mle * 100
+        here = cai(g)
+        if (g == g[0]).all():
+            return here, 1.0
+        null = cai(np.random.default_rng([seed, int(customer)]).permuted(np.tile(g, (draws, 1)), axis=1))
+        return here, (1 + np.count_nonzero(abs(null) >= abs(here) - 1e-12)) / (draws + 1)
 
-    return intervals.groupBy("customer").applyInPandas(run, "customer long, cai double, p_value double")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for q in parts:
+            out = [test(c, np.asarray(g, float)) for c, g in zip(q["customer"], q["g"])]
+            yield pd.DataFrame({"customer": q["customer"], "cai": [a for a, _ in out], "p_value": [p for _, p in out]})
+
+    rows = intervals.groupBy("customer").agg(F.sort_array(F.collect_list(F.struct("j", "gap"))).getField("gap").alias("g"))
+    # few bytes, much work: partitions by size would be too few
+    spark = intervals.sparkSession
+    rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), "customer")
+    return rows.mapInPandas(run, "customer long, cai double, p_value double")

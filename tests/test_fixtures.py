@@ -406,3 +406,17 @@ def test_overlaps_join_no_members_to_members(spark, monkeypatch, per_partition):
     want = {p: (n, n / (len(of[p[0]]) + len(of[p[1]]) - n)) for p, n in both.items() if n}
     assert {(r["a"], r["b"]): (r["both"], r["jaccard"]) for r in o.collect()} == want
     assert o._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2  # the two sizes
+
+
+def test_permutation_takes_many_customers_at_once(spark):
+    rows = [(c, (c * 31 + j * j * 17) % 50 + 1, j) for c in range(40) for j in range(1, 3 + c % 6)] + [(90, 0, 1), (90, 0, 2), (91, 7, 1)]
+    o = clv.cai_permutation(spark.createDataFrame(rows[::-1], "customer long, gap int, j int"), 200)
+    got = {r["customer"]: (r["cai"], r["p_value"]) for r in o.collect()}
+    for c in range(40):
+        g = np.array([x[1] for x in rows if x[0] == c], float)
+        j = np.arange(1, len(g) + 1)
+        cai = lambda v: (g.mean() - (v * j).sum(-1) / j.sum()) / g.mean() * 100  # noqa: B023, E731
+        null = cai(np.random.default_rng([5, c]).permuted(np.tile(g, (200, 1)), axis=1))
+        assert got[c] == (cai(g), (1 + (abs(null) >= abs(cai(g)) - 1e-12).sum()) / 201)
+    assert got[90] == (0, 1) and got[91] == (0, 1) and len(got) == 42
+    assert "FlatMapGroupsInPandas" not in o._jdf.queryExecution().executedPlan().toString()
