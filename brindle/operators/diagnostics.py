@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import distributions as dist
 from brindle.operators import ordered, statistics as st
+from brindle.session import discard, materialise
 
 
 def bootstrap(rows: DataFrame, group: str, y: str, draws: int = 2000, seed: int = 3) -> DataFrame:
@@ -167,7 +168,9 @@ def folds(rows: DataFrame, day: str, first: str, step_days: int, count: int, gap
 
 
 def permutation_importance(rows: DataFrame, xs: list[str], y: str, key: str) -> DataFrame:
-    """Loss of AUC of a logistic model when a column is put out of order: each row gets the value of another, by two hash orders of one key."""
+    """Loss of AUC of a logistic model when a column is put out of order: each row gets the value of another, by two hash orders of one key. Rows are
+    written once, and once more beside the values that they get, whatever the number of columns."""
+    rows = materialise(rows.select(key, y, *xs), "importance-rows")
     v = VectorAssembler(inputCols=xs, outputCol="features")
     m = LogisticRegression(labelCol=y, regParam=0.001).fit(v.transform(rows))
     from pyspark.ml.functions import vector_to_array
@@ -177,10 +180,13 @@ def permutation_importance(rows: DataFrame, xs: list[str], y: str, key: str) ->
         return float(st.auc(s, "p", y).first()["auc"] or 0.5)
 
     base, out = auc(rows), []
+    a = ordered.positions(rows, [F.xxhash64(F.lit(1), key), key], "_i").drop(key)
+    b = ordered.positions(rows.drop(y), [F.xxhash64(F.lit(2), key), key], "_i").select("_i", *[F.col(c).alias(f"_{c}") for c in xs])
+    both = materialise(a.join(b, "_i").drop("_i"), "importance-pairs")
     for c in xs:
-        a = ordered.positions(rows.drop(c), [F.xxhash64(F.lit(1), key), key], "_i")
-        b = ordered.positions(rows.select(key, c), [F.xxhash64(F.lit(2), key), key], "_i").select(c, "_i")
-        out.append((c, base, base - auc(a.join(b, "_i").drop("_i"))))
+        out.append((c, base, base - auc(both.drop(c).withColumnRenamed(f"_{c}", c))))
+    for t in (rows, both):
+        discard(t)
     return rows.sparkSession.createDataFrame(out, "term string, auc double, loss double")
 
 

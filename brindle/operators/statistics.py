@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import distributions as dist
 from brindle.operators import ordered
+from brindle.session import materialise
 
 
 def moments(rows: DataFrame, group: str, y: str) -> DataFrame:
@@ -263,8 +264,9 @@ def logrank(rows: DataFrame, group: str, time: str, event: str) -> DataFrame:
 
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve by average ranks."""
-    r = ranked(rows.select(score, label), score)
-    a = r.agg(F.sum(label).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("n"), F.sum(F.col("rank") * F.col(label)).alias("s"))
+    c = rows.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("ties"), F.sum(label).alias("_p"), F.sum(1 - F.col(label)).alias("_q"))
+    r = ordered.running_total(materialise(c, "scores"), [score], "ties", "_upto")
+    a = r.agg(F.sum("_p").cast("double").alias("p"), F.sum("_q").cast("double").alias("n"), F.sum((F.col("_upto") - (F.col("ties") - 1) / 2) * F.col("_p")).alias("s"))
     return a.select(((F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * F.col("n"), F.lit(0.0))).alias("auc"))
 
 

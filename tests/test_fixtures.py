@@ -420,3 +420,11 @@ def test_permutation_takes_many_customers_at_once(spark):
         assert got[c] == (cai(g), (1 + (abs(null) >= abs(cai(g)) - 1e-12).sum()) / 201)
     assert got[90] == (0, 1) and got[91] == (0, 1) and len(got) == 42
     assert "FlatMapGroupsInPandas" not in o._jdf.queryExecution().executedPlan().toString()
+
+
+def test_importance_orders_rows_twice_whatever_the_columns(spark, monkeypatch):
+    df = spark.range(300).select(F.col("id").alias("k"), *[(F.col("id") * m % 97).cast("double").alias(c) for c, m in (("a", 31), ("b", 37), ("c", 41))], (F.col("id") * 31 % 97 > 50).cast("int").alias("y"))
+    calls, real = [], ordered.positions
+    monkeypatch.setattr(ordered, "positions", lambda *a: calls.append(a) or real(*a))
+    got = {r["term"]: r["loss"] for r in dg.permutation_importance(df, ["a", "b", "c"], "y", "k").collect()}
+    assert len(calls) == 2 and got["a"] > 0.3 > max(abs(got["b"]), abs(got["c"]))
