@@ -246,22 +246,23 @@ def flagged_bots(e: DataFrame, agents: str = r"(?i)bot|crawl|spider|headless", n
 def double_ml(rows: DataFrame, treatment: str, y: str, xs: list[str], key: str, placebo: bool = False) -> DataFrame:
     """Effect of a treatment in a partially linear model: outcome and treatment are predicted from ``xs`` on the other half of the rows, and the residuals
     are set against each other. ``placebo`` puts the treatment out of order by a hash; the effect should then be near 0."""
-    if placebo:
-        a = ordered.positions(rows.drop(treatment), [F.xxhash64(F.lit(3), key), key], "_i")
-        rows = a.join(ordered.positions(rows.select(key, treatment), [F.xxhash64(F.lit(4), key), key], "_i").select(treatment, "_i"), "_i").drop("_i")
-    half = F.pmod(F.xxhash64(F.lit(7), key), F.lit(2))
-    rows = rows.withColumn("_half", half)
-    parts = None
-    for h in (0, 1):
-        train, test = rows.where(F.col("_half") != h), rows.where(F.col("_half") == h)
-        res = []
-        for target in (y, treatment):
-            g = st.gram(train, xs, target)
-            k = len(xs) + 1
-            b = np.linalg.lstsq(g[:k, :k], g[:k, k], rcond=None)[0]
-            res.append(F.col(target) - sum((float(v) * F.col(c) for v, c in zip(b[1:], xs)), F.lit(float(b[0]))))
-        one = test.select(res[0].alias("ry"), res[1].alias("rt"))
-        parts = one if parts is None else parts.unionByName(one)
+    half = F.pmod(F.xxhash64(F.lit(7), key), F.lit(2)).alias("_half")
+    if placebo:  # rows of one key are told apart by their values, so that the order is total; the pairs are written, as they are read three times
+        a = ordered.positions(rows.select(key, y, *xs), [F.xxhash64(F.lit(3), key), key, y, *xs], "_i").select("_i", half, y, *xs)
+        b = ordered.positions(rows.select(key, treatment), [F.xxhash64(F.lit(4), key), key, treatment], "_i").select("_i", treatment)
+        rows = materialise(a.join(b, "_i").drop("_i"), "placebo")
+    else:
+        rows = rows.select(half, y, treatment, *xs)
+    g = st.grams(rows, xs, [y, treatment], "_half")
+    k = len(xs) + 1
+    none = np.zeros((k + 1, k + 1))
+
+    def residual(target: str, h: int):
+        m = g.get((1 - h, target), none)
+        b = np.linalg.lstsq(m[:k, :k], m[:k, k], rcond=None)[0]
+        return F.col(target) - sum((float(v) * F.col(c) for v, c in zip(b[1:], xs)), F.lit(float(b[0])))
+
+    parts = rows.select(*[F.when(F.col("_half") == 0, residual(c, 0)).otherwise(residual(c, 1)).alias(n) for c, n in ((y, "ry"), (treatment, "rt"))])
     t = parts.agg((F.sum(F.col("ry") * F.col("rt")) / F.sum(F.col("rt") ** 2)).alias("effect"))
     e = (F.col("ry") - F.col("effect") * F.col("rt")) * F.col("rt")
     return parts.crossJoin(F.broadcast(t)).groupBy("effect").agg((F.sqrt(F.sum(e * e)) / F.sum(F.col("rt") ** 2)).alias("se"))

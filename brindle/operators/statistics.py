@@ -154,16 +154,27 @@ def design_effect(m: DataFrame) -> DataFrame:
     return b.select(icc.alias("icc"), deff.alias("deff"), (F.col("total") / deff).alias("n_eff"))
 
 
+def grams(rows: DataFrame, xs: list[str], ys: list[str], by: str) -> dict:
+    """The cross-product matrix of (1, xs, y) for each group and y, all in one aggregation whatever the number of rows."""
+    size = len(xs) + 2
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    sums = []
+    for k, y in enumerate(ys):
+        cols = [F.lit(1.0), *[F.col(c).cast("double") for c in xs], F.col(y).cast("double")]
+        keep = F.expr(" and ".join(f"`{c}` is not null" for c in [*xs, y]))
+        sums += [F.sum(F.when(keep, cols[i] * cols[j])).alias(f"s{k}_{i}_{j}") for i, j in pairs]
+    out = {}
+    for r in rows.groupBy(by).agg(*sums).collect():  # groups
+        for k, y in enumerate(ys):
+            g = out[r[by], y] = np.zeros((size, size))
+            for i, j in pairs:
+                g[i, j] = g[j, i] = r[f"s{k}_{i}_{j}"] or 0.0
+    return out
+
+
 def gram(rows: DataFrame, xs: list[str], y: str) -> np.ndarray:
     """The cross-product matrix of (1, xs, y), one aggregation whatever the number of rows."""
-    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in xs], F.col(y).cast("double")]
-    keep = rows.where(" and ".join(f"`{c}` is not null" for c in [*xs, y]))
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    r = keep.agg(*[F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i, j in pairs]).first()
-    g = np.zeros((len(cols), len(cols)))
-    for i, j in pairs:
-        g[i, j] = g[j, i] = r[f"s{i}_{j}"] or 0.0
-    return g
+    return grams(rows.withColumn("_all", F.lit(0)), xs, [y], "_all").get((0, y), np.zeros((len(xs) + 2, len(xs) + 2)))
 
 
 def ols(rows: DataFrame, xs: list[str], y: str, robust: bool = False) -> DataFrame:

@@ -428,3 +428,18 @@ def test_importance_orders_rows_twice_whatever_the_columns(spark, monkeypatch):
     monkeypatch.setattr(ordered, "positions", lambda *a: calls.append(a) or real(*a))
     got = {r["term"]: r["loss"] for r in dg.permutation_importance(df, ["a", "b", "c"], "y", "k").collect()}
     assert len(calls) == 2 and got["a"] > 0.3 > max(abs(got["b"]), abs(got["c"]))
+
+
+def test_double_ml_reads_rows_thrice_and_orders_repeated_keys(spark):
+    df = spark.range(400).select((F.col("id") % 150).alias("k"), (F.col("id") * 37 % 101).cast("double").alias("x"), (F.col("id") * 53 % 97).cast("double").alias("t"), (F.col("id") * 71 % 89).cast("double").alias("y"))
+    p = df.selectExpr("k", "x", "t", "y", "xxhash64(3, k) a", "xxhash64(4, k) b", "pmod(xxhash64(7, k), 2) h").toPandas()
+    for placebo in (False, True):
+        one = p.sort_values(["a", "k", "y", "x"]) if placebo else p
+        t = p.sort_values(["b", "k", "t"])["t"].to_numpy() if placebo else p["t"].to_numpy()
+        h, y, z = one["h"].to_numpy(), one["y"].to_numpy(), np.stack([np.ones(400), one["x"].to_numpy()], 1)
+        res = lambda v: np.where(h == 0, v - z @ np.linalg.lstsq(z[h == 1], v[h == 1], rcond=None)[0], v - z @ np.linalg.lstsq(z[h == 0], v[h == 0], rcond=None)[0])  # noqa: B023, E731
+        ry, rt = res(y), res(t)
+        effect = (ry * rt).sum() / (rt * rt).sum()
+        for n in (1, 7):
+            got = dg.double_ml(df.repartition(n), "t", "y", ["x"], "k", placebo=placebo).first()
+            assert (got["effect"], got["se"]) == (pytest.approx(effect, rel=1e-9), pytest.approx(np.sqrt(((ry - effect * rt) ** 2 * rt * rt).sum()) / (rt * rt).sum(), rel=1e-9))
